@@ -50,16 +50,18 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def save(self, df: DataFrame, drop: Iterable[DataFrame] = ()) -> DataFrame:
+    def save(self, df: DataFrame, drop: Iterable[DataFrame] = (), free: bool = False) -> DataFrame:
+        """Writes ``df`` and reads it again; ``free`` also lets go of the shuffle files that led to it."""
         path = f"{scratch_dir(self.spark)}/t-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         for x in drop:
             self.drop(x)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files that are no longer needed
+        if free:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()  # Spark's cleaner drops the files of shuffles that no object refers to
         return out
 
     def drop(self, df: DataFrame) -> None:

@@ -243,7 +243,7 @@ def _check(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: common.
     near = pairs.join(one.toDF("a", "n_a", "point_a"), "a").join(one.toDF("b", "n_b", "point_b"), "b")
     near = scratch.save(near.where(f"100 * n_a >= {PERCENT} * n_b and 100 * n_b >= {PERCENT} * n_a").mapInArrow(_bounded, "a long, b long"))
     full = near.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return scratch.save(full.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), drop=[near])
+    return scratch.save(full.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), drop=[near], free=True)
 
 
 def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
@@ -265,10 +265,10 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFra
     reps = scratch.save(reps.dropDuplicates(["key"]).select(F.col("doc_id").alias("rep"), "n", "tokens", "point"))
     tokens = reps.select("rep", "n", F.explode("tokens").alias("tile"))
     pivots = tokens.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiled = scratch.save(tokens.join(pivots, "tile").select("tile", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "members"))
+    tiled = scratch.save(tokens.join(pivots, "tile").select("tile", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "members"), free=True)
     # Texts are read again only for nodes that share a tile.
     texts = docs.join(tiled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = scratch.save(texts.dropDuplicates(["doc_id"]))
+    texts = scratch.save(texts.dropDuplicates(["doc_id"]), free=True)
 
     star = tiled.where(f"rep <> pivot and 100 * n >= {PERCENT} * pivot_n and 100 * pivot_n >= {PERCENT} * n")
     star = scratch.save(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
@@ -284,7 +284,7 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFra
     rows = rows.join(strays, "tile").withColumn("blocks", _blocks()).withColumn("block", F.explode("blocks"))
     rows = rows.join(reps.select("rep", "n", "point"), "rep").select("tile", "block", "rep", "comp", "n", "point")
     dealt = rows.repartition("tile", "block").sortWithinPartitions("tile", "block")
-    pairs = scratch.save(dealt.mapInArrow(_tiles, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), drop=[])
+    pairs = scratch.save(dealt.mapInArrow(_tiles, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), free=True)
     more = _check(pairs, reps, texts, scratch)
     merged = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     final = common.components(first.toDF("a", "b").unionByName(merged), scratch)

@@ -274,10 +274,10 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LE
     docs = keys(documents).where(F.octet_length("text") >= length).select("did", "tid", "text")
     found = text_runs(docs, length, anchor)
     shared = found.where("not own").groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first"))
-    shared = scratch.save(shared)
+    shared = scratch.save(shared, free=True)
     mixed = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket", F.lit(True).alias("mixed"))
     # Runs that occur once alone in their bucket need nothing; that is most of them.
-    shared_rows = scratch.save(shared.join(mixed, "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("mixed or times > 1"), drop=[shared])
+    shared_rows = scratch.save(shared.join(mixed, "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("mixed or times > 1"), drop=[shared], free=True)
     hits = found.join(shared_rows, ["bucket", "context"], "left").where("own or times is not null")
     is_first = (F.struct("did", "tid", "start") == F.col("first"))
     gone = F.col("own") | (F.col("times") > 1) & (F.lit(keep == "none") | ~is_first)
@@ -291,7 +291,7 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LE
         F.collect_list(F.when(F.col("gone"), F.struct("start", "count"))).alias("gone"),
         F.collect_list(F.when(F.col("detail"), F.struct("bucket", "start", "count"))).alias("detail"),
     )
-    work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows])
+    work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
     contexts = cut_contexts(work.where("size(detail) > 0"), length)
     dealt = contexts.repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
     compared = compare_buckets(dealt, length, keep)
@@ -343,7 +343,7 @@ def digest(documents: DataFrame, scratch: common.Scratch | None = None, length:
             cols = list(zip(*got, strict=True)) if got else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["did", "tid", "n_removed", "n_spans", "sha"])
 
-    changed = scratch.save(found.mapInArrow(run, "did long, tid long, n_removed long, n_spans long, sha string"))
+    changed = scratch.save(found.mapInArrow(run, "did long, tid long, n_removed long, n_spans long, sha string"), free=True)
     rows = keys(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     out = rows.join(changed, ["did", "tid"], "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
