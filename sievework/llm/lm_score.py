@@ -30,7 +30,7 @@ from . import common
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, OWN = 128, 64
-DIMS, NOISE, BATCH, STEPS, RATE = 24, 64, 8192, 1200, 0.02
+DIMS, NOISE, BATCH, STEPS, RATE = 24, 32, 2048, 1500, 0.02
 FREQUENT = 200_000
 #: Words that a task holds at once.
 HOLD = 400_000
@@ -131,7 +131,7 @@ class LogBilinear:
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.parameters = {name: rng.normal(0, 0.1, (CLASSES, DIMS)) for name in ("first", "second", "out")} | {"bias": np.zeros(CLASSES), "c1": np.ones(DIMS), "c2": np.ones(DIMS)}
+        self.parameters = {name: rng.normal(0, 0.1, (CLASSES, DIMS)).astype(np.float32) for name in ("first", "second", "out")} | {"bias": np.zeros(CLASSES, np.float32), "c1": np.ones(DIMS, np.float32), "c2": np.ones(DIMS, np.float32)}
 
     def context(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p = self.parameters
@@ -148,10 +148,10 @@ class LogBilinear:
         noise = np.bincount(c, n[order], CLASSES) + 1.0
         noise /= noise.sum()
         p["bias"][:] = np.log(noise)
-        log_noise = np.log(NOISE * noise)
+        log_noise = np.log(NOISE * noise).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in p.items()}
         s = {k: np.zeros_like(v) for k, v in p.items()}
-        eye = np.eye(CLASSES)
+        eye = np.eye(CLASSES, dtype=np.float32)
         for t in range(1, steps + 1):
             at = np.searchsorted(edge, rng.random(BATCH) * edge[-1], side="right").clip(max=len(edge) - 1)
             x, y, z = a[at], b[at], c[at]
@@ -181,7 +181,7 @@ class LogBilinear:
         out = np.empty((CLASSES, CLASSES, CLASSES))
         every = np.arange(CLASSES)
         for a in every:
-            score = self.context(np.full(CLASSES, a), every) @ self.parameters["out"].T + self.parameters["bias"]
+            score = (self.context(np.full(CLASSES, a), every) @ self.parameters["out"].T + self.parameters["bias"]).astype(np.float64)
             top = score.max(1, keepdims=True)
             out[a] = score - top - np.log(np.exp(score - top).sum(1, keepdims=True))
         return (out / math.log(10)).ravel()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm_score, mixing, ngram_join, quality_rules, suffix_dedup
+from . import bpe, embedding_dedup, lm_score, mixing, ngram_join, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_quality_rules, op5_bpe, op8_suffix_dedup, op9_lm_score, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_quality_rules, op5_bpe, op7_embedding_dedup, op8_suffix_dedup, op9_lm_score, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
