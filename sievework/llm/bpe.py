@@ -152,13 +152,14 @@ def _task(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     return Tokenizer(ranks, pattern)
 
 
-def round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document.
+def round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, and its ids with ``with_ids``.
 
     Null texts count as empty and have no tokens. Repeated rows come out as
     often as they go in; extra columns are not read. No shuffle.
     """
     common.session(documents)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
@@ -166,13 +167,12 @@ def round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> D
             tokenizer = tokenizer or _task(ranks, pattern)
             ids = tokenizer.encode(batch.column("text").to_pylist())
             raw = tokenizer.decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())]
+            if with_ids:
+                columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    kept = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode_column(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -84,15 +84,14 @@ def _solve(histogram: DataFrame, state: DataFrame, scratch: common.Scratch) -> D
     return state.select("source", "source_size", "mean", "target", "full", "lam")
 
 
-def mix_sources(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every document.
+def draw():
+    """A number in (0, 1) that depends on doc_id alone."""
+    return (F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
-    Documents without words (null or empty texts) have size 0 and are never
-    taken. A null source is a source of its own. Repeated rows count and are
-    taken each by itself, alike. An empty table gives an empty result.
-    """
-    scratch = scratch or common.Scratch(documents.sparkSession)
-    docs = scratch.save(sizes(documents).withColumn("u", (F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+
+def plan_mix(sized: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """What the copies follow from: one row a source of (source, source_size, target, mean, lam, full, shift)."""
+    docs = scratch.save(sized.withColumn("u", draw()))
     histogram = scratch.save(docs.where("size > 0").groupBy(F.col("source").alias("s"), "size").agg(F.count(F.lit(1)).alias("n")))
     known = scratch.save(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))))
     full = F.col("target") >= F.lit(MAX_COPIES) * F.col("source_size") * (1 - 1e-12)
@@ -101,21 +100,48 @@ def mix_sources(documents: DataFrame, scratch: common.Scratch | None = None) ->
     state = state.select("source", "source_size", "mean", "target", full.alias("full"), F.lit(0.0).alias("lam"), (-50 * F.col("mean")).alias("low"), F.col("mean").alias("high"))
     solved = scratch.save(_solve(histogram, state, scratch))
     rates = docs.where("size > 0").alias("d").join(solved.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")))
+    rows = rates.select("d.doc_id", F.col("d.source").alias("s"), "size", "u", _rate().alias("rate"), "full")
+    shifts = _shifts(rows, solved, scratch)
+    out = known.alias("k").join(solved.alias("m"), F.col("k.source").eqNullSafe(F.col("m.source")), "left").select("k.*", "m.mean", "m.lam", "m.full")
+    out = out.alias("o").join(shifts.alias("h"), F.col("o.source").eqNullSafe(F.col("h.source")), "left").select("o.*", "h.shift")
+    return scratch.save(out)
+
+
+def _rate():
     tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
-    rate = F.when(F.col("full"), F.lit(MAX_COPIES)).otherwise(F.least(F.lit(MAX_COPIES), tilt))
-    rows = rates.select("d.doc_id", F.col("d.source").alias("s"), "size", "u", rate.alias("rate"), "full")
-    shifts = scratch.save(_shifts(rows, solved, scratch))
-    row = docs.alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source"))).select("d.*", "k.source_size", "k.target")
-    row = row.alias("r").join(solved.select("source", "mean", "lam", "full").alias("m"), F.col("r.source").eqNullSafe(F.col("m.source")), "left").select("r.*", "m.mean", "m.lam", "m.full")
-    row = row.alias("r").join(shifts.alias("h"), F.col("r.source").eqNullSafe(F.col("h.source")), "left").select("r.*", "h.shift")
-    copies = F.when(F.col("size") > 0, _copies(F.coalesce("shift", F.lit(0.0)), F.when(F.col("full"), F.lit(MAX_COPIES)).otherwise(F.least(F.lit(MAX_COPIES), tilt)))).otherwise(0)
-    out = row.withColumn("copies", copies.cast("int"))
+    return F.when(F.col("full"), F.lit(MAX_COPIES)).otherwise(F.least(F.lit(MAX_COPIES), tilt))
+
+
+def mix_sources(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every document.
+
+    Documents without words (null or empty texts) have size 0 and are never
+    taken. A null source is a source of its own. Repeated rows count and are
+    taken each by itself, alike. An empty table gives an empty result.
+    """
+    scratch = scratch or common.Scratch(documents.sparkSession)
+    sized = scratch.save(sizes(documents))
+    row = sized.alias("d").join(plan_mix(sized, scratch).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.target", "p.mean", "p.lam", "p.full", "p.shift")
+    out = row.withColumn("u", draw()).withColumn("rate", _rate()).withColumn("copies", _taken())
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def _copies(shift, rate=None):
-    rate = F.col("rate") if rate is None else rate
-    whole = F.floor(rate + (1 - F.col("u")) + shift)
+def mix_documents(documents: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it; texts are not shuffled."""
+    plan = plan_mix(sizes(documents), scratch).select(F.struct("source", "mean", "lam", "full", "shift").alias("__plan"))
+    rows = documents.select(F.struct("*").alias("__row")).join(plan, F.col("__row.source").cast("string").eqNullSafe(F.col("__plan.source")))
+    text = F.coalesce(F.col("__row.text").cast("string"), F.lit(""))
+    flat = rows.select("__row", F.col("__row.doc_id").cast("long").alias("doc_id"), word_count(text).alias("size"), "__plan.mean", "__plan.lam", "__plan.full", "__plan.shift")
+    taken = flat.withColumn("u", draw()).withColumn("rate", _rate()).withColumn("copies", _taken()).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+
+
+def _taken():
+    return F.when(F.col("size") > 0, _copies(F.coalesce("shift", F.lit(0.0)))).otherwise(0).cast("int")
+
+
+def _copies(shift):
+    whole = F.floor(F.col("rate") + (1 - F.col("u")) + shift)
     return F.greatest(F.lit(0), F.least(F.lit(int(MAX_COPIES)), whole)).cast("int")
 
 

@@ -294,6 +294,17 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
+def keep_one(documents: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The documents without near-duplicates, with all their columns: of each component the smallest doc_id stays, once.
+
+    Rows with a null doc_id stay.
+    """
+    kept = join(documents, scratch).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = documents.where("doc_id is not null")
+    one = named.join(kept, named["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(documents.where("doc_id is null"))
+
+
 def _blocks():
     """Blocks that a row of a mixed tile goes to.
 

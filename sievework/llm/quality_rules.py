@@ -20,12 +20,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+BASE_RULE = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 #: Of good documents, at most this share may be rejected by all rules together,
 #: with a probability of 1 - DELTA over all strata and rules.
 ALPHA, DELTA = 0.01, 0.05
@@ -80,7 +82,7 @@ def metrics(documents: DataFrame) -> DataFrame:
     common.session(documents)
     kept = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     out = kept.mapInArrow(_measured, "doc_id long, lang string, " + ", ".join(f"{m} long" for m in METRICS))
-    return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
+    return out.withColumn("base_failed", F.expr(BASE_RULE))
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -160,3 +162,19 @@ def apply_rules(documents: DataFrame, labels: DataFrame, scratch: common.Scratch
     measured = scratch.save(metrics(documents))
     cuts = scratch.save(cutoffs(measured, labels))
     return judge(measured, cuts).select("doc_id", *METRICS[:5], "base_failed", "kept", "n_rules_failed", F.col("n_lines"))
+
+
+def keep_documents(documents: DataFrame, labels: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The documents that the rules keep, with all their columns; texts are not shuffled."""
+    cuts = scratch.save(cutoffs(scratch.save(metrics(documents)), labels))
+    extra = [f"__{m}" for m in METRICS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.array([measure(x) for x in batch.column("text").cast(pa.string()).to_pylist()], np.int64).reshape(-1, len(METRICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in got.T)], [*batch.schema.names, *extra])
+
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(m, T.LongType()) for m in extra)])
+    rows = documents.mapInArrow(run, schema).select(F.struct(*documents.columns).alias("__row"), *(F.col(f"__{m}").alias(m) for m in METRICS))
+    rows = rows.withColumn("lang", F.col("__row.lang").cast("string")).withColumn("base_failed", F.expr(BASE_RULE))
+    return judge(rows, cuts).where("kept").select("__row.*")

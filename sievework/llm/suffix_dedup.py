@@ -349,21 +349,24 @@ def digest(documents: DataFrame, scratch: common.Scratch | None = None, length:
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
-def remove_later_copies(documents: DataFrame, scratch: common.Scratch, length: int = LENGTH) -> DataFrame:
+def remove_later_copies(documents: DataFrame, scratch: common.Scratch, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """The documents, each text without strings of ``length`` bytes that an earlier one (by doc_id, then offset) holds.
 
     What is left may start or end inside a character; broken characters go too.
-    All columns stay.
+    Documents of which no word is left go as a whole. All columns stay; n_chars,
+    where there is one, follows the text.
     """
-    columns = documents.columns
-    found = find_repeats(documents, scratch, length, keep="first")
+    found = find_repeats(documents, scratch, length, anchor, keep="first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_kept(t.encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            got = [t if common.words_of(t) else "" for t in got]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), pa.array(got, pa.string())], ["did", "tid", "left_text"])
 
-    changed = scratch.save(found.mapInArrow(run, "did long, tid long, left_text string"))
-    marked = keys(documents.select(*columns))
-    out = marked.join(changed, ["did", "tid"], "left").withColumn("text", F.coalesce("left_text", "text"))
-    return out.select(*columns)
+    changed = scratch.save(found.mapInArrow(run, "did long, tid long, left_text string"), free=True)
+    rows = keys(documents.select(F.struct("*").alias("__row"), "doc_id", "text")).select("__row", "did", "tid")
+    out = rows.join(changed, ["did", "tid"], "left").where("left_text is null or left_text <> ''")
+    text = F.coalesce("left_text", F.col("__row.text"))
+    fields = {"text": text} | ({"n_chars": F.when(F.col("left_text").isNull(), F.col("__row.n_chars")).otherwise(F.length("left_text")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    return out.select(*(fields.get(c, F.col(f"__row.`{c}`")).alias(c) for c in documents.columns))
