@@ -17,11 +17,11 @@ most 1/4, so 25 elements suffice up to a chance of 1e-15 a pair, which is below
 that of a collision of the 64-bit hashes; where heavy shingles stand in the way
 the prefix is longer, up to the exact length.
 
-Documents with equal sets are one node. Links are found in two rounds. The first
-compares each member of a tile with the smallest member alone, which is linear
-in the tile. The second looks only at tiles whose members are still in different
-components and joins these by R-tree; tiles beyond BLOCK members are split into
-blocks. Only counts, never links, reach the driver.
+Documents with equal sets are one node. First, in STAR_ROUNDS rounds, each member
+of a tile is compared with one member alone, which is linear in the tile. After
+them, tiles whose members are still in different components are joined by
+R-tree; tiles beyond BLOCK members are split into blocks, and a pair comes from
+the smallest tile that it shares. Only counts, never links, reach the driver.
 """
 
 from __future__ import annotations
@@ -42,9 +42,11 @@ WORDS, PERCENT = 5, 75
 COARSE_BITS, HEAVY, HEAVY_LEAST = 20, 16, 64
 #: ln of the chance that a shortened prefix misses a link.
 MISS = math.log(1e-15)
-#: Dimensions of a point: a power of two about a quarter of the set's size.
-DIMS_LEAST, DIMS_MOST = 16, 4096
+#: Dimensions of a point: a power of two of four to eight times the set's size; boxes use FOLD times fewer.
+DIMS_LEAST, DIMS_MOST, FOLD = 64, 1 << 17, 16
 LEAF, BLOCK = 16, 4096
+#: Rounds in which the members of a tile are compared with one member only.
+STAR_ROUNDS = 3
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -57,10 +59,15 @@ def links(overlap: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def dims_of(n: int) -> int:
+    return min(DIMS_MOST, max(DIMS_LEAST, 1 << (4 * n - 1).bit_length()))
+
+
 def point(hashes: np.ndarray) -> np.ndarray:
-    """Counts of the hash groups: the low bits of a hash are its group."""
-    dims = min(DIMS_MOST, max(DIMS_LEAST, 1 << max(0, (len(hashes) // 4).bit_length())))
-    return np.bincount((hashes & np.uint64(dims - 1)).astype(np.int64), minlength=dims).astype("<u2" if len(hashes) < 65536 else "<u4")
+    """Counts of the hash groups: the low bits of a hash are its group. One byte a count where that holds them."""
+    dims = dims_of(len(hashes))
+    counts = np.bincount((hashes & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4")
 
 
 def fold(p: np.ndarray, dims: int) -> np.ndarray:
@@ -105,7 +112,8 @@ def heavy_groups(documents: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-PREPARED = "doc_id long, n long, key binary, tokens array<long>, point binary"
+PREPARED = "doc_id long, n long, key binary, tokens array<long>"
+NODES = "rep long, n long, tokens array<long>, point binary"
 
 
 def prepare(documents: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -118,16 +126,41 @@ def prepare(documents: DataFrame, heavy: np.ndarray) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([prefix(s, heavy).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([point(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "key", "tokens", "point"],
+                ["doc_id", "n", "key", "tokens"],
             )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREPARED)
 
 
+def nodes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """Size, prefix and point of the nodes that share a tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([prefix(s, heavy).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([point(s).tobytes() for s in sets], pa.binary()),
+                ],
+                ["rep", "n", "tokens", "point"],
+            )
+
+    return texts.mapInArrow(run, NODES)
+
+
 def _read_point(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if n < 65536 else "<u4")
+    return np.frombuffer(raw, np.uint8 if len(raw) == dims_of(n) else "<u4")
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """The sum of the coordinate minima, in the dimensions of the smaller point."""
+    dims = min(len(p), len(q))
+    p, q = (x if len(x) == dims else fold(x, dims) for x in (p, q))
+    return int(np.minimum(p, q).sum(dtype=np.int64))
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +168,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("point_a", "point_b", "n_a", "n_b")), strict=True):
-            p, q = _read_point(a, n), _read_point(b, m)
-            dims = min(len(p), len(q))
-            keep.append(links(int(np.minimum(fold(p, dims), fold(q, dims)).sum()), n, m))
+            keep.append(links(overlap_bound(_read_point(a, n), _read_point(b, m)), n, m))
         kept = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
@@ -192,30 +223,31 @@ def _may_link(overlap, a, b):
     return (100 + PERCENT) * overlap >= PERCENT * (a + b)
 
 
-def _tile_pairs(ids, comps, sizes, raw) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one tile block that may link and are in different components."""
+def _tile_pairs(tile: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one tile block that may link, are in different components and share no smaller tile."""
+    ids, comps, sizes, raw, tokens = zip(*rows, strict=True)
     points = [_read_point(p, n) for p, n in zip(raw, sizes, strict=True)]
+    smaller = [frozenset(t for t in x if t < tile) for x in tokens]
     ids, comps, sizes = np.array(ids), np.array(comps), np.array(sizes)
-    out_a, out_b = [], []
+    out = []
     # Sets of similar size have points of the same or the neighbouring number of dimensions.
-    dims = np.array([len(p) for p in points])
+    dims = np.array([dims_of(n) for n in sizes.tolist()])
     for d in np.unique(dims):
         for lower in (d, d // 2) if d > DIMS_LEAST else (d,):
             at = np.flatnonzero((dims == d) | (dims == lower))
-            if len(at) < 2 or (lower != d and not (dims[at] == lower).any()):
-                continue
-            if comps[at].min() == comps[at].max():
+            if len(at) < 2 or (lower != d and not (dims[at] == lower).any()) or comps[at].min() == comps[at].max():
                 continue
-            tree = RTree(np.stack([fold(points[i], int(lower)) for i in at]), sizes[at])
+            tree = RTree(np.stack([fold(points[i], max(DIMS_LEAST // 4, int(lower) // FOLD)) for i in at]), sizes[at])
             for i, j in tree.pairs():
                 i, j = at[i], at[j]
                 keep = comps[i] != comps[j]
                 if lower != d:
                     keep &= dims[i] != dims[j]
-                out_a.append(np.minimum(ids[i], ids[j])[keep])
-                out_b.append(np.maximum(ids[i], ids[j])[keep])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+                for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                    if smaller[x].isdisjoint(smaller[y]) and links(overlap_bound(points[x], points[y]), sizes[x], sizes[y]):
+                        out.append((ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x]))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +255,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows = None, []
 
     def flush():
-        a, b = _tile_pairs(*zip(*rows, strict=True)) if len(rows) > 1 else (np.zeros(0, np.int64),) * 2
+        a, b = _tile_pairs(now[0], rows)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for t, k, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "rep", "comp", "n", "point")), strict=True):
+        for t, k, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "rep", "comp", "n", "point", "tokens")), strict=True):
             if (t, k) != now:
                 if len(rows) > 1:
                     yield flush()
@@ -257,43 +289,65 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFra
     spark = common.session(documents)
     scratch = scratch or common.Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prepared = scratch.save(prepare(docs, heavy_groups(docs)))
+    heavy = heavy_groups(docs)
+    prepared = scratch.save(prepare(docs, heavy))
     used = prepared.where("n > 0 and doc_id is not null")
     # Equal sets are one node, named by its smallest document.
     same = scratch.save(used.groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = used.join(same, (used["key"] == same["key"]) & (used["doc_id"] == same["rep"]), "left_semi")
-    reps = scratch.save(reps.dropDuplicates(["key"]).select(F.col("doc_id").alias("rep"), "n", "tokens", "point"))
-    tokens = reps.select("rep", "n", F.explode("tokens").alias("tile"))
-    pivots = tokens.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiled = scratch.save(tokens.join(pivots, "tile").select("tile", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "members"), free=True)
+    tokens = scratch.save(reps.dropDuplicates(["key"]).select(F.col("doc_id").alias("rep"), "n", F.explode("tokens").alias("tile")), free=True)
+    shared = tokens.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    tiled = scratch.save(tokens.join(shared, "tile").select("tile", "rep", "n", "members"), drop=[tokens], free=True)
+    # Members of large tiles have kept most of what their group has in common, so they make good pivots.
+    weight = tiled.groupBy("rep").agg(F.sum("members").alias("weight"))
+    tiled = scratch.save(tiled.join(weight, "rep"), drop=[tiled], free=True)
     # Texts are read again only for nodes that share a tile.
     texts = docs.join(tiled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = scratch.save(texts.dropDuplicates(["doc_id"]), free=True)
-
-    star = tiled.where(f"rep <> pivot and 100 * n >= {PERCENT} * pivot_n and 100 * pivot_n >= {PERCENT} * n")
-    star = scratch.save(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    linked = _check(star, reps, texts, scratch)
-    first = common.components(linked, scratch)
-
-    rows = tiled.join(first.toDF("rep", "found"), "rep", "left").withColumn("comp", F.coalesce("found", "rep"))
-    rows = scratch.save(rows.select("tile", "rep", "pivot", "members", "comp"), drop=[tiled])
-    core = F.col("rep") == F.col("pivot")
-    mixed = rows.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(core, F.col("comp"))).alias("core")).where("low < high").select("tile", "core")
+    reps = scratch.save(nodes(texts, heavy))
+
+    tested = None
+    comps = tiled.select("rep", F.col("rep").alias("comp")).limit(0)
+    for k in range(STAR_ROUNDS):
+        rows = _labelled(tiled, comps)
+        draw = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1024)) / 10240 if k else F.lit(0.0)
+        best = F.max(F.struct((F.col("weight") * (1 + draw)).alias("w"), (-F.col("rep")).alias("r"), F.col("n").alias("n"), F.col("comp").alias("comp")))
+        pivots = _mixed(rows, best.alias("pivot"))
+        star = rows.join(pivots, "tile").where(f"comp <> pivot.comp and 100 * n >= {PERCENT} * pivot.n and 100 * pivot.n >= {PERCENT} * n")
+        star = star.select(F.least("rep", -F.col("pivot.r")).alias("a"), F.greatest("rep", -F.col("pivot.r")).alias("b")).distinct()
+        star = scratch.save(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
+        tested = star if tested is None else tested.unionByName(star)
+        linked = _check(star, reps, texts, scratch)
+        # Components of the round before stand for their members.
+        comps = scratch.save(common.components(comps.toDF("a", "b").unionByName(linked), scratch).toDF("rep", "comp"), drop=[comps])
+
+    rows = scratch.save(_labelled(tiled, comps), drop=[tiled])
+    mixed = _mixed(rows, F.max_by("comp", F.struct("weight", -F.col("rep"))).alias("core"))
     rows = rows.join(mixed, "tile")
     strays = rows.groupBy("tile").agg(F.sum((F.col("comp") != F.col("core")).cast("long")).alias("strays"))
     rows = rows.join(strays, "tile").withColumn("blocks", _blocks()).withColumn("block", F.explode("blocks"))
-    rows = rows.join(reps.select("rep", "n", "point"), "rep").select("tile", "block", "rep", "comp", "n", "point")
+    rows = rows.select("tile", "block", "rep", "comp").join(reps, "rep").select("tile", "block", "rep", "comp", "n", "point", "tokens")
     dealt = rows.repartition("tile", "block").sortWithinPartitions("tile", "block")
-    pairs = scratch.save(dealt.mapInArrow(_tiles, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), free=True)
+    pairs = scratch.save(dealt.mapInArrow(_tiles, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), free=True)
     more = _check(pairs, reps, texts, scratch)
-    merged = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    final = common.components(first.toDF("a", "b").unionByName(merged), scratch)
+    final = common.components(comps.toDF("a", "b").unionByName(more), scratch)
 
     comp = same.join(final.toDF("rep", "found"), "rep", "left").select("key", F.coalesce("found", "rep").alias("comp"))
     out = prepared.select("doc_id", "n", "key").join(comp, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
+def _labelled(tiled: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of the tiles with the component of their node; a node without links is its own."""
+    return tiled.join(comps.withColumnRenamed("comp", "found"), "rep", "left").withColumn("comp", F.coalesce("found", "rep")).drop("found")
+
+
+def _mixed(rows: DataFrame, value) -> DataFrame:
+    """Tiles whose members are in different components, with an aggregate ``value`` of their rows."""
+    tiles = rows.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), value)
+    return tiles.where("low < high").drop("low", "high")
+
+
 def keep_one(documents: DataFrame, scratch: common.Scratch) -> DataFrame:
     """The documents without near-duplicates, with all their columns: of each component the smallest doc_id stays, once.
 
