@@ -34,7 +34,9 @@ ANCHOR = 150
 #: Suffixes of one step over a long text.
 SEGMENT = 1 << 18
 #: Suffixes sorted at once; each takes LENGTH bytes.
-SORT_AT_ONCE = 100_000
+SORT_AT_ONCE = 50_000
+#: Beyond so many different runs a bucket is dealt on by the hashes of its strings, over all tasks.
+HOT = 512
 _LUT = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=7) | 1 for i in range(256)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -205,7 +207,11 @@ def reaches(position: np.ndarray, order: np.ndarray, shared: np.ndarray, length:
 
 
 def removed_in_buckets(rows: list[tuple], length: int, keep: str) -> list[tuple[int, int, int, int]]:
-    """(did, tid, start, count) of suffix starts to remove. rows: (bucket, did, tid, start, bytes), whole buckets."""
+    """(did, tid, start, count) of suffix starts to remove. rows: (bucket, did, tid, start, bytes), whole buckets.
+
+    Suffixes are sorted in parts by the hash of their ``length`` bytes, so that
+    equal strings share a part and memory stays bounded.
+    """
     data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     size = np.array([len(r[4]) for r in rows])
     at = np.cumsum(size) - size
@@ -217,9 +223,15 @@ def removed_in_buckets(rows: list[tuple], length: int, keep: str) -> list[tuple[
     rank = np.empty(len(rows), np.int64)
     rank[place] = np.arange(len(rows))
     position = rank[owner] * (SEGMENT + length) + offset
-    order, shared = suffix_order(data, at[owner] + offset, group, length)
-    previous, following = reaches(position, order, shared, length)
-    out_mask = previous if keep == "first" else previous | following
+    parts = -(-len(owner) // SORT_AT_ONCE)
+    out_mask = np.zeros(len(owner), bool)
+    if parts > 1:
+        share = np.concatenate([string_hashes(r[4], length) for r in rows]) % np.uint64(parts)
+    for p in range(parts):
+        part = np.flatnonzero(share == p) if parts > 1 else np.arange(len(owner))
+        order, shared = suffix_order(data, at[owner[part]] + offset[part], group[part], length)
+        previous, following = reaches(position[part], order, shared, length)
+        out_mask[part] = previous if keep == "first" else previous | following
     hit = np.flatnonzero(out_mask)
     if not len(hit):
         return []
@@ -228,6 +240,11 @@ def removed_in_buckets(rows: list[tuple], length: int, keep: str) -> list[tuple[
     return [(rows[owner[h]][1], rows[owner[h]][2], int(rows[owner[h]][3] + offset[h]), int(k)) for h, k in zip(hit[edge], n, strict=True)]
 
 
+def string_hashes(raw: bytes, length: int) -> np.ndarray:
+    """The hash of each string of ``length`` bytes."""
+    return np.concatenate([_hashes(_sums(data), length) for _, data in segments(raw, length)])
+
+
 REMOVED = "did long, tid long, start int, count int"
 
 
@@ -275,9 +292,9 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LE
     found = text_runs(docs, length, anchor)
     shared = found.where("not own").groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first"))
     shared = scratch.save(shared, free=True)
-    mixed = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket", F.lit(True).alias("mixed"))
+    mixed = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket", F.lit(True).alias("mixed"), (F.col("contexts") > HOT).alias("hot"))
     # Runs that occur once alone in their bucket need nothing; that is most of them.
-    shared_rows = scratch.save(shared.join(mixed, "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("mixed or times > 1"), drop=[shared], free=True)
+    shared_rows = scratch.save(shared.join(mixed, "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).withColumn("hot", F.coalesce("hot", F.lit(False))).where("mixed or times > 1"), drop=[shared], free=True)
     hits = found.join(shared_rows, ["bucket", "context"], "left").where("own or times is not null")
     is_first = (F.struct("did", "tid", "start") == F.col("first"))
     gone = F.col("own") | (F.col("times") > 1) & (F.lit(keep == "none") | ~is_first)
@@ -286,15 +303,16 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LE
         gone = F.when(F.col("own"), F.lit(False)).otherwise((F.col("times") > 1) & ~is_first)
         # Strings that repeat within one run: the run is compared with itself.
         detail = detail | F.col("own")
-    flagged = hits.select("did", "tid", "bucket", "start", "count", gone.alias("gone"), detail.alias("detail"), "own").where("gone or detail")
+    flagged = hits.select("did", "tid", "bucket", "start", "count", gone.alias("gone"), detail.alias("detail"), F.coalesce("hot", F.lit(False)).alias("hot")).where("gone or detail")
     flagged = flagged.groupBy("did", "tid").agg(
         F.collect_list(F.when(F.col("gone"), F.struct("start", "count"))).alias("gone"),
-        F.collect_list(F.when(F.col("detail"), F.struct("bucket", "start", "count"))).alias("detail"),
+        F.collect_list(F.when(F.col("detail"), F.struct("bucket", "start", "count", "hot"))).alias("detail"),
     )
     work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
-    contexts = cut_contexts(work.where("size(detail) > 0"), length)
+    detailed = work.where("size(detail) > 0").select("did", "tid", "text", "detail")
+    contexts = cut_contexts(detailed, length)
     dealt = contexts.repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
-    compared = compare_buckets(dealt, length, keep)
+    compared = compare_buckets(dealt, length, keep).unionByName(compare_hot(detailed.where("exists(detail, d -> d.hot)"), length, keep, scratch))
     whole = work.select("did", "tid", F.explode("gone").alias("g")).select("did", "tid", "g.start", "g.count")
     spans = compared.unionByName(whole).groupBy("did", "tid").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("count") + length - 1).alias("end")))).alias("raw"))
     merged = F.expr("""aggregate(raw, cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
@@ -305,16 +323,43 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LE
 
 
 def cut_contexts(work: DataFrame, length: int) -> DataFrame:
+    """The bytes of runs in buckets that are not hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for did, tid, text, detail in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text", "detail")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(d["bucket"], did, tid, d["start"], raw[d["start"] : d["start"] + d["count"] + length - 1]) for d in detail]
+                out += [(d["bucket"], did, tid, d["start"], raw[d["start"] : d["start"] + d["count"] + length - 1]) for d in detail if not d["hot"]]
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "did", "tid", "start", "bytes"])
 
-    return work.select("did", "tid", "text", "detail").mapInArrow(run, "bucket long, did long, tid long, start int, bytes binary")
+    return work.mapInArrow(run, "bucket long, did long, tid long, start int, bytes binary")
+
+
+def compare_hot(work: DataFrame, length: int, keep: str, scratch: common.Scratch) -> DataFrame:
+    """Repeats within hot buckets, by the hashes of single strings.
+
+    A bucket that holds a large share of all rows is too much for one task; equal
+    strings of it meet in partial aggregates and a join that can be split.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, tid, text, detail in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text", "detail")), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                for d in detail:
+                    if d["hot"]:
+                        h = string_hashes(raw[d["start"] : d["start"] + d["count"] + length - 1], length).view(np.int64)
+                        n = len(h)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d["bucket"], np.int64)), pa.array(h), pa.array(np.full(n, did, np.int64)), pa.array(np.full(n, tid, np.int64)), pa.array(np.arange(d["start"], d["start"] + n, dtype=np.int32))], ["bucket", "hash", "did", "tid", "start"])
+
+    rows = work.mapInArrow(run, "bucket long, hash long, did long, tid long, start int")
+    equal = scratch.save(rows.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first")).where("times > 1"))
+    found = rows.join(equal, ["bucket", "hash"])
+    if keep == "first":
+        found = found.where(F.struct("did", "tid", "start") != F.col("first"))
+    return found.select("did", "tid", "start", F.lit(1).alias("count"))
 
 
 def _kept(raw: bytes, spans: list[dict]) -> bytes:
