@@ -9,7 +9,7 @@ parameters are fitted in numpy by noise-contrastive estimation from the counts
 of class triples over the whole training corpus; their number is bounded by
 CLASSES^3, whatever the corpus, so they fit the driver.
 
-Word counts cover all training documents. The FREQUENT most frequent words go to
+Word counts cover all training documents. Frequent words, at most FREQUENT, go to
 the scoring tasks; the counts of all others come by a join on the word's hash.
 """
 
@@ -31,7 +31,8 @@ from . import common
 FOLDS, HELD_OUT = 7, 2
 CLASSES, OWN = 128, 64
 DIMS, NOISE, BATCH, STEPS, RATE = 24, 32, 2048, 1500, 0.02
-FREQUENT = 200_000
+#: A word is frequent from 1 / FREQUENT of all training tokens on, so there are at most so many.
+FREQUENT = 500_000
 #: Words that a task holds at once.
 HOLD = 400_000
 END = b""  # no word is empty
@@ -81,8 +82,9 @@ def count_words(documents: DataFrame) -> DataFrame:
 class Words(dict):
     """Numbers the words that a task meets; ``classes`` and ``logs`` are by number. A log of nan: not among the frequent words."""
 
-    def __init__(self, own: dict[int, int], logs: dict[int, float]):
-        self.own, self.known = own, logs
+    def __init__(self, own: dict[int, int], known: np.ndarray, logs: np.ndarray):
+        """own: class by hash; known: sorted hashes of the frequent words, with their logs."""
+        self.own, self.known, self.known_logs = own, known, logs
         self.hashes: list[int] = []
         self.classes: list[int] = []
         self.logs: list[float] = []
@@ -92,9 +94,13 @@ class Words(dict):
         self[word] = n = len(self.hashes)
         self.hashes.append(h)
         self.classes.append(0 if not word else self.own.get(h) or ending_class(word))
-        self.logs.append(self.known.get(h, math.nan))
+        self.logs.append(self.log_of(h))
         return n
 
+    def log_of(self, h: int) -> float:
+        at = int(self.known.searchsorted(h))
+        return float(self.known_logs[at]) if at < len(self.known) and self.known[at] == h else math.nan
+
     def trim(self) -> None:
         if len(self) > HOLD:
             self.clear()
@@ -109,7 +115,7 @@ def triples(classes: np.ndarray) -> np.ndarray:
 
 def count_triples(documents: DataFrame, own: dict[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(own, {}), np.zeros(CLASSES**3, np.int64)
+        words, total = Words(own, np.zeros(0, np.int64), np.zeros(0)), np.zeros(CLASSES**3, np.int64)
         for batch in batches:
             words.trim()
             numbers = []
@@ -199,25 +205,30 @@ def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFr
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = scratch.save(count_words(docs), free=True)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    own_hashes = [int(h) for h, c in zip(top["h"], top["class"], strict=True) if c != 0][:OWN]
+    top = counts.where(F.col("n") >= F.lit(total / FREQUENT)).toArrow()
+    hashes, times = top.column("h").to_numpy(), top.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -times))
+    own_hashes = hashes[order][top.column("class").to_numpy()[order] != 0][:OWN].tolist()
     own = {h: i + 1 for i, h in enumerate(own_hashes)}
+    if END_HASH not in set(hashes.tolist()):  # a corpus of very long texts
+        end = counts.where(F.col("class") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hashes, times = np.append(hashes, END_HASH), np.append(times, end)
+    order = np.argsort(hashes)
+    hashes, frequent_logs = hashes[order], np.log10(times[order] + 1.0)
     # What the words of a shared class add up to, with one for words that are not known.
-    shared = counts.where("class <> 0").where(~F.col("h").isin(own_hashes) if own_hashes else F.lit(True)).groupBy("class").agg(F.sum(F.col("n") + 1).alias("z")).toPandas()
+    shared = counts.where("class <> 0").where(~F.col("h").isin(own_hashes) if own_hashes else F.lit(True)).groupBy("class").agg(F.sum(F.col("n") + 1).alias("z")).toArrow()
     weight = np.ones(CLASSES)
-    weight[shared["class"].to_numpy(np.int64)] += shared["z"].to_numpy(np.float64)
+    weight[shared.column("class").to_numpy()] += shared.column("z").to_numpy()
     log_weight = np.log10(weight)
-    found = count_triples(docs, own).toPandas()
-    model = LogBilinear().fit(found["triple"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    found = count_triples(docs, own).toArrow()
+    model = LogBilinear().fit(found.column("triple").to_numpy().astype(np.int64), found.column("n").to_numpy())
     # At most FREQUENT hashes and logs, and the parameters: sizes that do not depend on the input.
-    sent = spark.sparkContext.broadcast((model, own, top["h"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
+    sent = spark.sparkContext.broadcast((model, own, hashes, frequent_logs))
     end_known = int(total > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, own_class, hashes, logs = sent.value
-        table, words = lm.table(), Words(own_class, dict(zip(hashes.tolist(), logs.tolist(), strict=True)))
-        end_log = words.known.get(END_HASH, 0.0)
-        words.known[END_HASH] = end_log
+        table, words = lm.table(), Words(own_class, hashes, logs)
         for batch in batches:
             words.trim()
             numbers = [[*map(words.__getitem__, common.words_of(t, lower=True)), words[END]] for t in batch.column("text").to_pylist()]

@@ -106,9 +106,9 @@ def heavy_groups(documents: DataFrame) -> np.ndarray:
     """Bit map of the heavy coarse groups, 2^COARSE_BITS / 8 bytes whatever the input."""
     counts = documents.select(F.col("text").cast("string")).mapInArrow(_coarse_counts, "coarse long, n long").groupBy("coarse").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
-    rows = counts.join(F.broadcast(total)).where(f"n >= greatest({HEAVY_LEAST}, {HEAVY} * t / {1 << COARSE_BITS})").select("coarse").toPandas()
+    rows = counts.join(F.broadcast(total)).where(f"n >= greatest({HEAVY_LEAST}, {HEAVY} * t / {1 << COARSE_BITS})").select("coarse").toArrow()
     bits = np.zeros(1 << COARSE_BITS, bool)
-    bits[rows["coarse"].to_numpy(np.int64)] = True
+    bits[rows.column("coarse").to_numpy()] = True
     return np.packbits(bits, bitorder="little")
 
 

@@ -174,8 +174,8 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
     scratch = scratch or common.Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     voted = scratch.save(vote_table(docs))
-    counts = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    patterns, n = counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
+    counts = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    patterns, n = counts.column("pattern").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
     model = LabelModel().fit(pattern_votes(patterns), n) if len(patterns) else None
     posterior = dict(zip(patterns.tolist(), model.posterior(pattern_votes(patterns)).tolist(), strict=True)) if model else {}
 
@@ -189,8 +189,11 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
             p = [posterior.get(pattern_of(votes(t or "")), 0.5) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([v for _, v in got], pa.list_(pa.float64()))], ["doc_id", "p", "at", "value"])
 
-    sample = texts.mapInArrow(featured, "doc_id long, p double, at array<long>, value array<double>").orderBy("doc_id").limit(TRAIN_ROWS).toPandas()
-    weights, bias = train([(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(sample["at"], sample["value"], strict=True)], sample["p"].to_numpy(np.float64))
+    sample = texts.mapInArrow(featured, "doc_id long, p double, at array<long>, value array<double>").toArrow()
+    # A table in order of the ids, so that reruns agree; repeated rows may make it somewhat longer.
+    sample = sample.sort_by("doc_id").slice(0, TRAIN_ROWS)
+    sample = {c: [np.asarray(x) for x in sample.column(c).to_pylist()] if c in ("at", "value") else sample.column(c).to_numpy() for c in ("p", "at", "value")}
+    weights, bias = train([(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(sample["at"], sample["value"], strict=True)], sample["p"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
