@@ -11,8 +11,8 @@ of their id. Every document is voted on, counted and scored.
 
 from __future__ import annotations
 
+import operator
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,70 +34,106 @@ FUNCTION_WORDS = frozenset(
     "the of and to in a is that it for on was be as with by this from are or at an et de la le les des un une que qui dans pour pas sur au par est en du il elle der die das und ist von zu den mit sich auf ein eine nicht es im dem auch el los las y del se por con para su lo".split()
 )
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPE = [(re.compile(r"[^\W\d_]*[^\W\d_a-zß-öø-ÿ][^\W\d_]+"), "W"), (re.compile(r"[^\W\d_]+"), "w"), (re.compile(r"\d+"), "9"), (re.compile(r"([^\w])\1+"), r"\1\1")]
+_ENDS = re.compile(rb"[.?!](?=[\x20\x09-\x0D]|\Z)")
+_SPACE, _UPPER = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_UPPER[0x41:0x5B] = True
+_LEAD = (np.arange(256) & 0xC0) != 0x80
+#: Words whose shapes a task keeps.
+HOLD = 300_000
 
-HEURISTICS = ("symbols", "repeats", "function_words", "capitals", "shouting", "sentences", "word_length", "length")
 
+def shape_of(word: str) -> str:
+    """A word's shape: case, digits and runs of other characters, up to eight of them."""
+    if word.isalpha():
+        return "w" if word.islower() else "W" if word.isupper() and len(word) > 1 else "Ww"
+    for pattern, to in _SHAPE:
+        word = pattern.sub(to, word)
+    return word[:8]
 
-def votes(text: str) -> tuple[int, ...]:
-    """One vote a heuristic: 1 good, -1 bad, 0 none."""
-    words = _WORD.findall(text)
+
+def hashed(feature) -> int:
+    return xxhash.xxh32_intdigest(repr(feature)) % FEATURES
+
+
+class Shapes(dict):
+    """Codes of the words that a task meets: twice the number of the shape, one more for a function word."""
+
+    def __init__(self):
+        self.names = [""]
+        self.numbers = {"": 0}
+        self.single: list[int] = [hashed("")]
+        self.pairs: dict[int, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        shape = shape_of(word.decode("utf-8", "surrogatepass"))
+        n = self.numbers.setdefault(shape, len(self.names))
+        if n == len(self.names):
+            self.names.append(shape)
+            self.single.append(hashed(shape))
+        self[word] = code = 2 * n + (word.strip(b".,;:!?").lower().decode("utf-8", "surrogatepass") in FUNCTION_WORDS)
+        return code
+
+    def pair(self, key: int) -> int:
+        if key not in self.pairs:
+            self.pairs[key] = hashed((self.names[key >> 32], self.names[key & 0xFFFFFFFF]))
+        return self.pairs[key]
+
+    def trim(self) -> None:
+        if len(self) + len(self.pairs) > HOLD:
+            self.clear()
+            self.__init__()
+
+
+HEURISTICS = ("symbols", "repeats", "shouting", "prose", "word_length", "length")
+
+
+def measure(text: str | None, shapes: Shapes) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+    """One vote a heuristic (1 good, -1 bad, 0 none), and the hashed features with their values.
+
+    Features are the shares of word shapes, of their pairs, of repeated words and of function words.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = raw.split()
     n = len(words)
     if n == 0:
-        return (0,) * (len(HEURISTICS) - 1) + (-1,)
-    chars = sum(map(len, words))
-    letters = [c for c in text if c.isalpha()]
-    symbols = sum(c in "#*$%&|<>" for c in text) / chars
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
-    common_words = sum(w.strip(".,;:!?").lower() in FUNCTION_WORDS for w in words) / n
-    capitals = sum(c.isupper() for c in letters) / max(1, len(letters))
-    marks = text.count("!") / n
-    ends = len(re.findall(r"[.?!](?=\s|\Z)", text)) / n
-    mean = chars / n
-
-    def vote(x: float, bad: bool, good: bool) -> int:
+        return (0,) * (len(HEURISTICS) - 1) + (-1,), np.zeros(0, np.int64), np.zeros(0)
+    data = np.frombuffer(raw, np.uint8)
+    chars = int(_LEAD[data].sum() - _SPACE[data].sum())
+    codes = np.fromiter(map(shapes.__getitem__, words), np.int64, n)
+    number, function = codes >> 1, int((codes & 1).sum())
+    again = sum(map(operator.eq, words, words[1:]))
+    upper = int(_UPPER[data].sum()) + int(((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)).sum())
+    symbols, marks = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))) / chars, raw.count(b"!") / n
+    same, common_words, capitals, ends, mean = again / n, function / n, upper / chars, len(_ENDS.findall(raw)) / n, chars / n
+
+    def vote(bad: bool, good: bool) -> int:
         return -1 if bad else 1 if good else 0
 
-    return (
-        vote(symbols, symbols > 0.05, symbols == 0),
-        vote(same, same > 0.1, same < 0.02),
-        vote(common_words, n >= 20 and common_words < 0.02, common_words > 0.05),
-        vote(capitals, capitals > 0.4, capitals < 0.15),
-        vote(marks, marks > 0.2, marks < 0.02),
-        vote(ends, n >= 20 and (ends == 0 or ends > 0.5), 0.01 < ends < 0.3),
-        vote(mean, mean > 12 or mean < 2.5, 3.5 < mean < 8),
-        vote(n, n < 3, n >= 20),
+    found = (
+        vote(symbols > 0.05, False),
+        vote(same > 0.1, False),
+        vote(capitals > 0.4 or marks > 0.2, False),
+        vote(n >= 20 and common_words < 0.02, common_words > 0.05 and 0.01 < ends < 0.3),
+        vote(mean > 12 or mean < 2.5, 3.5 < mean < 8),
+        vote(n < 3, n >= 20),
     )
+    one, k = np.unique(number, return_counts=True)
+    two, m = np.unique((np.concatenate([np.zeros(1, np.int64), number[:-1]]) << 32) | number, return_counts=True)
+    at = [shapes.single[x] for x in one.tolist()] + [shapes.pair(x) for x in two.tolist()]
+    value = [k, m]
+    for name, times in (("again", again), ("function", function)):
+        if times:
+            at.append(hashed(name))
+            value.append(np.array([times]))
+    return found, np.array(at, np.int64), np.concatenate(value) / n
 
 
 def pattern_of(v: tuple[int, ...]) -> int:
     return sum((x + 1) * 3**i for i, x in enumerate(v))
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed shares of word shapes, of their pairs and of repeated words."""
-    count: Counter = Counter()
-    last, before = "", ""
-    for w in _WORD.findall(text):
-        shape = w
-        if w.isalpha():
-            shape = "w" if w.islower() else "W" if w.isupper() and len(w) > 1 else "Ww"
-        else:
-            for pattern, to in _SHAPE:
-                shape = pattern.sub(to, shape)
-        count[shape[:8]] += 1
-        count[(before, shape[:8])] += 1
-        if w == last:
-            count["again"] += 1
-        if w.lower() in FUNCTION_WORDS:
-            count["function"] += 1
-        last, before = w, shape[:8]
-    size = sum(v for k, v in count.items() if isinstance(k, tuple))
-    at = np.array([xxhash.xxh32_intdigest(repr(k)) % FEATURES for k in count], np.int64)
-    return at, np.array([v / size for v in count.values()])
-
-
 class LabelModel:
     """Naive-Bayes label model with two classes, bad and good, fitted by EM on counted vote patterns."""
 
@@ -105,12 +141,18 @@ class LabelModel:
         """votes_: patterns by heuristics, in -1, 0, 1; n: documents of each."""
         k = votes_.shape[1]
         hot = np.stack([votes_ == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, heuristic, vote
-        # A start by majority tells which class is which.
-        q = 1 / (1 + np.exp(-votes_.sum(1).astype(float)))
+        # Which class is which: to start with, a document is bad if any heuristic says so.
+        q = np.where((votes_ < 0).any(1), 0.1, 0.95)
         for _ in range(steps):
             w = np.stack([(1 - q) * n, q * n])
             self.prior = (w.sum(1) + 1) / (w.sum() + 2)
             self.table = (np.einsum("cp,phv->chv", w, hot) + 0.5) / (w.sum(1)[:, None, None] + 1.5)
+            # A vote speaks for the class that it names, or for none: the heuristics are better than chance.
+            for vote, own in ((0, 0), (2, 1)):
+                flat = self.table[:, :, vote].mean(0)
+                wrong = self.table[own, :, vote] < self.table[1 - own, :, vote]
+                self.table[:, wrong, vote] = flat[wrong]
+            self.table /= self.table.sum(2, keepdims=True)
             new = self.posterior(votes_)
             if np.abs(new - q).max() < 1e-10:
                 break
@@ -137,8 +179,10 @@ def vote_table(documents: DataFrame) -> DataFrame:
     """doc_id and pattern of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for batch in batches:
-            got = [pattern_of(votes(t or "")) for t in batch.column("text").to_pylist()]
+            shapes.trim()
+            got = [pattern_of(measure(t, shapes)[0]) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64())], ["doc_id", "pattern"])
 
     return documents.mapInArrow(run, "doc_id long, pattern long")
@@ -184,10 +228,12 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
     texts = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # at most TRAIN_ROWS ids
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for batch in batches:
-            got = [features(t or "") for t in batch.column("text").to_pylist()]
-            p = [posterior.get(pattern_of(votes(t or "")), 0.5) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([v for _, v in got], pa.list_(pa.float64()))], ["doc_id", "p", "at", "value"])
+            shapes.trim()
+            got = [measure(t, shapes) for t in batch.column("text").to_pylist()]
+            p = [posterior.get(pattern_of(v), 0.5) for v, _, _ in got]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([a for _, a, _ in got], pa.list_(pa.int64())), pa.array([x for _, _, x in got], pa.list_(pa.float64()))], ["doc_id", "p", "at", "value"])
 
     sample = texts.mapInArrow(featured, "doc_id long, p double, at array<long>, value array<double>").toArrow()
     # A table in order of the ids, so that reruns agree; repeated rows may make it somewhat longer.
@@ -196,12 +242,12 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
     weights, bias = train([(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(sample["at"], sample["value"], strict=True)], sample["p"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for batch in batches:
-            v = [pattern_of(votes(t or "")) for t in batch.column("text").to_pylist()]
-            s = []
-            for t in batch.column("text").to_pylist():
-                at, value = features(t or "")
-                s.append(float(value @ weights[at]) + bias)
+            shapes.trim()
+            got = [measure(t, shapes) for t in batch.column("text").to_pylist()]
+            v = [pattern_of(x) for x, _, _ in got]
+            s = [float(value @ weights[at]) + bias for _, at, value in got]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.int64()), pa.array([posterior.get(x, 0.5) for x in v], pa.float64()), pa.array(s, pa.float64())], ["doc_id", "pattern", "posterior", "score"])
 
     scores = scratch.save(docs.mapInArrow(scored, "doc_id long, pattern long, posterior double, score double"))
