@@ -295,10 +295,10 @@ def _blocked(spark, sf_dir):
     return msm.block(pairs, clean), clean
 
 
-@query(f"""{_MSM}, both AS (SELECT i, j, {O.toks('a.title')} AS x, {O.toks('b.title')} AS y, a.title AS ta, b.title AS tb, a.words AS wa, b.words AS wb FROM blocked JOIN worded a ON a.pid = i JOIN worded b ON b.pid = j)
+@query(f"""{_MSM}, duo AS (SELECT i, j, {O.toks('a.title')} AS x, {O.toks('b.title')} AS y, a.title AS ta, b.title AS tb, a.words AS wa, b.words AS wb FROM blocked JOIN worded a ON a.pid = i JOIN worded b ON b.pid = j)
     SELECT i, j, round(coalesce(len(list_intersect(list_distinct(x), list_distinct(y))) / nullif(sqrt(length(ta)) * sqrt(length(tb)), 0), 0.0), 6) AS title_cosine,
         round(coalesce(len(list_intersect(list_distinct(x), list_distinct(y))) / nullif(sqrt(len(list_distinct(x)) * len(list_distinct(y))), 0), 0.0), 6) AS token_cosine,
-        round(coalesce(len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0), 0.0), 6) AS jaccard FROM both""")
+        round(coalesce(len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0), 0.0), 6) AS jaccard FROM duo""")
 def q_title_cosine(spark, sf_dir):
     rows, _ = _blocked(spark, sf_dir)
     a, b = T.tokens(F.col("title_i")), T.tokens(F.col("title_j"))
