@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html_extract, lm_score, mixing, ngram_join, quality_rules, suffix_dedup, warc, weak_label
+from . import bpe, embedding_dedup, html_extract, lm_score, mixing, ngram_join, oracle, quality_rules, suffix_dedup, warc, weak_label
 from .common import table
 
 
@@ -57,4 +57,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ngram_join, op2_warc, op3_weak_label, op4_quality_rules, op5_bpe, op6_html_extract, op7_embedding_dedup, op8_suffix_dedup, op9_lm_score, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracle.OP1, "op7_embedding_dedup": oracle.OP7}
