@@ -26,6 +26,8 @@ from . import common
 TRAIN_ROWS = 6000
 FEATURES = 1 << 12
 EM_STEPS, EPOCHS, RATE, DECAY = 200, 60, 0.5, 1e-4
+#: Score of a text without words, which has no features.
+NO_WORDS = -20.0
 #: Share of documents with a good posterior that the cutoff may reject.
 REJECT = 0.002
 
@@ -210,7 +212,7 @@ def train(sample: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tu
 def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, pattern, posterior (of good, by the label model), score (log-odds of the scorer) and kept.
 
-    Null texts are empty: they have the vote against short texts alone. Repeated
+    Null texts are empty; texts without words are never kept. Repeated
     rows count and are scored each by itself. With an empty table the result is
     empty. Extra columns are not read.
     """
@@ -247,11 +249,11 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
             shapes.trim()
             got = [measure(t, shapes) for t in batch.column("text").to_pylist()]
             v = [pattern_of(x) for x, _, _ in got]
-            s = [float(value @ weights[at]) + bias for _, at, value in got]
+            s = [float(value @ weights[at]) + bias if len(at) else NO_WORDS for _, at, value in got]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.int64()), pa.array([posterior.get(x, 0.5) for x in v], pa.float64()), pa.array(s, pa.float64())], ["doc_id", "pattern", "posterior", "score"])
 
     scores = scratch.save(docs.mapInArrow(scored, "doc_id long, pattern long, posterior double, score double"))
     # The cutoff loses at most REJECT of the documents that the label model holds to be good, and is never above even odds.
-    low = scores.where("posterior >= 0.9").agg(F.percentile_approx("score", F.lit(REJECT), F.lit(10000))).first()[0]
-    cutoff = min(0.0, low) if low is not None else 0.0
+    low = scores.where(f"posterior >= 0.9 and score > {NO_WORDS}").agg(F.percentile_approx("score", F.lit(REJECT), F.lit(10000))).first()[0]
+    cutoff = max(min(0.0, low), NO_WORDS + 1) if low is not None else 0.0
     return scores.withColumn("kept", F.col("score") >= F.lit(float(cutoff)))
