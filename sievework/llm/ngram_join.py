@@ -39,7 +39,7 @@ from . import common
 
 WORDS, PERCENT = 5, 75
 #: Coarse groups by which heavy shingles are told; a group is heavy from HEAVY times the mean on.
-COARSE_BITS, HEAVY, HEAVY_LEAST = 20, 16, 64
+COARSE_BITS, HEAVY, HEAVY_LEAST, LOCAL_LEAST = 20, 16, 64, 8
 #: ln of the chance that a shortened prefix misses a link.
 MISS = math.log(1e-15)
 #: Dimensions of a point: a power of two of four to eight times the set's size; boxes use FOLD times fewer.
@@ -97,8 +97,9 @@ def _coarse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         got = [shingles(t) >> np.uint64(64 - COARSE_BITS) for t in batch.column("text").to_pylist()]
         if got:
             total += np.bincount(np.concatenate(got).astype(np.int64), minlength=len(total))
-    # A group that is heavy over all is above the mean in most tasks; the others need not be sent.
-    at = np.flatnonzero(total >= max(2, 4 * total.mean()))
+    # A group that is heavy over all is above the mean in most tasks; the others need not be sent. A heavy group
+    # that is missed only makes tiles larger, since any order of the shingles finds all links.
+    at = np.flatnonzero(total >= max(LOCAL_LEAST, 4 * total.mean()))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["coarse", "n"])
 
 
