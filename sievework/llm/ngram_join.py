@@ -42,8 +42,8 @@ WORDS, PERCENT = 5, 75
 COARSE_BITS, HEAVY, HEAVY_LEAST, LOCAL_LEAST = 20, 16, 64, 8
 #: ln of the chance that a shortened prefix misses a link.
 MISS = math.log(1e-15)
-#: Dimensions of a point: a power of two of four to eight times the set's size; boxes use FOLD times fewer.
-DIMS_LEAST, DIMS_MOST, FOLD = 64, 1 << 17, 16
+#: Dimensions of a point: a power of two of two to four times the set's size; boxes use FOLD times fewer.
+DIMS_LEAST, DIMS_MOST, FOLD = 64, 1 << 17, 8
 LEAF, BLOCK = 16, 4096
 #: Rounds in which the members of a tile are compared with one member only.
 STAR_ROUNDS = 3
@@ -60,7 +60,7 @@ def links(overlap: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 
 def dims_of(n: int) -> int:
-    return min(DIMS_MOST, max(DIMS_LEAST, 1 << (4 * n - 1).bit_length()))
+    return min(DIMS_MOST, max(DIMS_LEAST, 1 << (2 * n - 1).bit_length()))
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def _tile_pairs(tile: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero((dims == d) | (dims == lower))
             if len(at) < 2 or (lower != d and not (dims[at] == lower).any()) or comps[at].min() == comps[at].max():
                 continue
-            tree = RTree(np.stack([fold(points[i], max(DIMS_LEAST // 4, int(lower) // FOLD)) for i in at]), sizes[at])
+            tree = RTree(np.stack([fold(points[i], max(16, int(lower) // FOLD)) for i in at]), sizes[at])
             for i, j in tree.pairs():
                 i, j = at[i], at[j]
                 keep = comps[i] != comps[j]
