@@ -47,7 +47,8 @@ PRODUCTS = "pid long, title string, url string, shop string, model_id string, fe
 
 
 def test_later_of_colliding_keys_wins_and_names_are_filled(spark):
-    df = spark.createDataFrame([(1, "x", "u", "s", "m", {"Screen Size:": '40"', "screen size": '46 "', "Refresh Rate": "120 Hertz", "Aspect Ratio": "16:9 wide"})], PRODUCTS)
+    # Built in SQL: a Python dict reaches Spark in no particular order.
+    df = spark.sql("""SELECT 1L AS pid, 'x' AS title, map('Screen Size:', '40"', 'screen size', '46 "', 'Refresh Rate', '120 Hertz', 'Aspect Ratio', '16:9 wide') AS features""")
     got = features.clean_features(df).first()["features"]
     assert got == {"screen size class": "46inch", "screen refresh rate": "120hz", "aspect ratio": "16i9"}
 
