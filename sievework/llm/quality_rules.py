@@ -1,13 +1,19 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule turns a text into a score that is higher for worse texts. A labelled
-holdout then decides how strict each rule may be in each stratum (language):
-cutoffs are tried from the loosest to the strictest, and a cutoff is accepted
-while the exact (Clopper-Pearson) upper bound of its false-rejection rate among
-good documents stays below the limit. Testing in that fixed order needs no
-correction within a rule and stratum; the Bonferroni correction is over rules
-and strata. A stratum with too few labelled documents gets no cutoff, so that
-nothing is rejected there without evidence.
+holdout then decides how strict the rules may be in each stratum (language):
+sets of cutoffs are tried in a sequence from the loosest to the strictest, and a
+set is accepted while the exact (Clopper-Pearson) upper bound of the share of good
+documents that it rejects, by any rule, stays below the limit. Testing ends with
+the first set that isn't accepted, so it needs no correction within a stratum; the
+Bonferroni correction is over tested strata. Which rule is made stricter next
+follows from the labelled documents of quality 0 only, not from those of the tests.
+
+A stratum with too few good documents to pass even without a false rejection is
+pooled with the next smallest until the pool has enough (299 for one tested
+stratum, 436 for four); the limit then holds over the pool. If all labelled
+documents together are too few, no rule rejects, nor does one in a stratum without
+labelled good documents.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 BASE_RULE = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 #: Of good documents, at most this share may be rejected by all rules together,
-#: with a probability of 1 - DELTA over all strata and rules.
+#: with a probability of 1 - DELTA over all tested strata.
 ALPHA, DELTA = 0.01, 0.05
 
 #: name: (score, cutoffs from the loosest to the strictest). A document is rejected above the cutoff.
@@ -106,37 +112,67 @@ def passes(rejected: int, good: int, alpha: float, delta: float) -> bool:
     return binomial_cdf(rejected, good, alpha) <= delta
 
 
+def least_good(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good documents with which a stratum passes if none is rejected, with so many tested strata."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
+
+
+def pools(good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> list[list[str]]:
+    """Strata that are tested together: the two smallest are joined while the smallest has too few good documents."""
+    out = sorted((n, [s]) for s, n in good.items())
+    while len(out) > 1 and out[0][0] < least_good(len(out), alpha, delta):
+        (n, a), (m, b), *rest = out
+        out = sorted([(n + m, sorted(a + b)), *rest])
+    return [s for _, s in out]
+
+
+def choose(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> list[int]:
+    """How many of each rule's cutoffs are accepted, from the loosest on.
+
+    ``levels`` has the number of cutoffs of each rule that the documents of a row
+    exceed, ``good`` and ``bad`` how many documents these are. The next step goes to
+    the rule that can still catch most bad documents, of equal ones to the one with
+    the fewest steps. Once no rule can catch more of them, the sequence is left
+    before the first step that rejects a further good document.
+    """
+    sizes = np.array([len(cuts) for _, cuts in RULES.values()])
+    now, hit = np.zeros(len(sizes), np.int64), np.zeros(len(good), bool)
+    while (now < sizes).any():
+        gain = [int(bad[~hit & (levels[:, r] > 0)].sum()) for r in range(len(sizes))]
+        r = min(np.flatnonzero(now < sizes), key=lambda r: (-gain[r], now[r], r))
+        more = hit | (levels[:, r] >= sizes[r] - now[r])
+        if not passes(int(good[more].sum()), int(good.sum()), alpha, delta) or (not gain[r] and good[more & ~hit].any()):
+            break
+        now[r] += 1
+        hit = more
+    return now.tolist()
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, n_good and one cutoff per rule (null: none) from labelled good documents.
+    """stratum, n_good, n_pool and one cutoff per rule (null: none) from labelled documents.
 
-    Good: every label of the document has quality 1 and toxic 0. Counts for all
-    rules and cutoffs come from one aggregate with partial sums; only rows of
-    strata, not of documents, meet in it.
+    Good: every label of the document has quality 1 and toxic 0; n_good counts those
+    of the stratum that pass the base rule, n_pool those of the strata tested with it.
+    One aggregate with partial sums counts the documents by the cutoffs that they
+    exceed; only such combinations, not documents, meet in one task.
     """
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
-    rows = measured.where("not base_failed").join(good, "doc_id", "left_semi")
-    sums = [F.expr(f"cast(sum(cast({score} > {c}D as int)) as long)") for score, cuts in RULES.values() for c in cuts]
-    counts = rows.groupBy(stratum().alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), F.array(*sums).alias("rejected"))
-    n_strata = counts.agg(F.count(F.lit(1)).alias("n_strata"))
-    share = alpha / len(RULES)
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for s, n, got, strata in zip(f["stratum"], f["n_good"], f["rejected"], f["n_strata"], strict=True):
-                row, at = {"stratum": s, "n_good": n}, 0
-                for name, (_, cuts) in RULES.items():
-                    row[name] = None
-                    for c, k in zip(cuts, got[at : at + len(cuts)], strict=True):
-                        if not passes(int(k), int(n), share, delta / (len(RULES) * strata)):
-                            break
-                        row[name] = c
-                    at += len(cuts)
-                out.append(row)
-            yield pd.DataFrame(out, columns=["stratum", "n_good", *RULES])
-
-    one = counts.join(n_strata)  # n_strata is a single row
-    return one.mapInPandas(choose, "stratum string, n_good long, " + ", ".join(f"{r} double" for r in RULES))
+    by_doc = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    rows = measured.where("not base_failed").join(by_doc.selectExpr("doc_id", "q = 1 and t = 0 as good", "q = 0 as bad").where("good or bad"), "doc_id")
+    levels = [F.expr(" + ".join(f"cast({score} > {c}D as int)" for c in cuts)).alias(f"level_{name}") for name, (score, cuts) in RULES.items()]
+    combined = rows.select(stratum().alias("stratum"), *levels, F.expr("cast(good as long) as good"), F.expr("cast(bad as long) as bad"))
+    counts = combined.groupBy("stratum", *(f"level_{name}" for name in RULES)).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+    def decide(f: pd.DataFrame) -> pd.DataFrame:
+        n_good = {s: int(n) for s, n in f.groupby("stratum")["good"].sum().items() if n}
+        tested, out = pools(n_good, alpha, delta), []
+        for pool in tested:
+            own = f[f["stratum"].isin(pool)]
+            steps = choose(own[[f"level_{name}" for name in RULES]].to_numpy(), own["good"].to_numpy(), own["bad"].to_numpy(), alpha, delta / len(tested))
+            cut = [cuts[k - 1] if k else None for k, (_, cuts) in zip(steps, RULES.values(), strict=True)]
+            out += [(s, n_good[s], int(own["good"].sum()), *cut) for s in pool]
+        return pd.DataFrame(out, columns=["stratum", "n_good", "n_pool", *RULES])
+
+    return counts.groupBy().applyInPandas(decide, "stratum string, n_good long, n_pool long, " + ", ".join(f"{r} double" for r in RULES))
 
 
 def stratum():

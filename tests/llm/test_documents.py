@@ -186,6 +186,26 @@ def test_quality_rules_without_and_with_labels(spark):
     assert quality_rules.keep_documents(docs, none, common.Scratch(spark)).columns == SCHEMA_NAMES
 
 
+def test_quality_rules_with_few_labels(spark):
+    """440 good documents a language are enough; smaller languages are tested together; the joint share keeps the limit."""
+    good = [(i, " ".join(f"word{i}x{k}" for k in range(20)), lang) for i, lang in enumerate(["en"] * 500 + ["de"] * 440 + ["fr"] * 300 + ["es"] * 200)]
+    junk = [(5000 + k, " ".join(f"ab{i}###" for i in range(30)), lang) for k, lang in enumerate(["en", "de", "fr", "es"])]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good] + [(5000, 0, 0)], "doc_id long, quality int, toxic int")
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs, labels).collect()}
+    assert all(verdict[i] for i, _, _ in good) and not any(verdict[i] for i, _, _ in junk)
+    pooled = {r["stratum"]: r["n_pool"] for r in quality_rules.cutoffs(quality_rules.metrics(docs), labels).collect()}
+    assert pooled == {"=en": 500, "=de": 440, "=fr": 500, "=es": 500}
+    few = labels.where("doc_id < 298")
+    assert all(r["kept"] for r in quality_rules.apply_rules(docs, few).collect())
+    # Two rules that reject different good documents share the limit: 9 of 2,000 pass, 18 don't.
+    sizes = [len(c) for _, c in quality_rules.RULES.values()]
+    levels = np.array([[0] * 5, [sizes[0], 0, 0, 0, 0], [0, sizes[1], 0, 0, 0]])
+    bad = np.array([0, 9, 8])
+    assert quality_rules.choose(levels, np.array([1994, 6, 0]), bad, 0.01, 0.05)[:2] == sizes[:2]
+    assert quality_rules.choose(levels, np.array([1982, 9, 9]), bad, 0.01, 0.05)[:2] == [1, 0]
+
+
 def test_binomial_bound():
     assert quality_rules.binomial_cdf(2, 10, 0.3) == pytest.approx(sum(math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(3)))
     assert quality_rules.passes(0, 2000, 0.002, 0.05) and not quality_rules.passes(0, 1000, 0.002, 0.05) and not quality_rules.passes(0, 0, 0.5, 0.5)
