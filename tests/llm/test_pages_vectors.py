@@ -1,6 +1,7 @@
 """Operators on pages and embeddings."""
 
 import gzip
+import math
 
 import numpy as np
 import pytest
@@ -96,3 +97,35 @@ def test_embedding_dedup(spark, monkeypatch):
 def test_passes_grow_with_the_logarithm():
     assert embedding_dedup.passes_for(0) == embedding_dedup.PASSES_LEAST
     assert embedding_dedup.passes_for(50_000) < embedding_dedup.passes_for(15_000_000) < 60
+
+
+def cone(n, pairs, inner, dims=64, seed=3):
+    """n vectors, a third of them in a cone of inner cosine ``inner`` that link with nothing but the partner planted for some."""
+    rng = np.random.default_rng(seed)
+    axis = np.eye(dims)[0]
+    side = rng.standard_normal((n, dims))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = rng.standard_normal((n, dims))
+    x[: n // 3] = math.sqrt(inner) * axis + math.sqrt(1 - inner) * side[: n // 3]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn = rng.standard_normal((pairs, dims))
+    turn -= (turn * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    return np.concatenate([x, 0.955 * x[:pairs] + math.sqrt(1 - 0.955**2) * turn])
+
+
+@pytest.mark.parametrize("inner", [0.0, 0.9])
+def test_links_in_a_dense_cone(spark, inner):
+    n, pairs = 6000, 300
+    x = cone(n, pairs, inner)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(df).collect()}
+    assert sum(got.values()) >= 0.99 * near.sum() and all(got[i] <= k for i, k in enumerate(near.sum(1)))
+
+
+def test_shared_signs():
+    a = np.array([0, 1 << 61, 5, (1 << 62) - 1, 1 << 31])
+    assert embedding_dedup.shared_signs(a, np.array([0, 0, 4, 0, (1 << 31) - 1])).tolist() == [62, 0, 61, 0, 30]
