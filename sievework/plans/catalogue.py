@@ -15,6 +15,8 @@ from . import oracle as O  # noqa: E741
 BANDS, ROWS = 20, 5
 GRID = ((30, 2), (15, 4), (6, 10))
 SAMPLES, RATIO = 3, 0.63
+#: The reference's samples. Queries with SQL take SAMPLES and GRID, which SQL is quick enough for.
+FULL_SAMPLES = 5
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -277,6 +279,22 @@ def q_lsh_average(spark, sf_dir):
     return got.select("bands", "rows", *(_round(c, c) for c in ("f1_star", "pc", "pq", "fraction")))
 
 
+def _full_eval(products: DataFrame) -> DataFrame:
+    return evaluate.evaluate_lsh(cluster._written(sampling.bootstrap(products, RATIO, FULL_SAMPLES)), evaluate.GRID)
+
+
+@query()
+def q_lsh_eval_full(spark, sf_dir):
+    got = _full_eval(products.docs(spark, sf_dir))
+    return got.select("boot_id", "bands", "rows", _round("t", "t"), "tp", "fp", "fn", *(_round(c, c) for c in ("pq", "pc", "f1_star", "fraction")))
+
+
+@query()
+def q_lsh_average_full(spark, sf_dir):
+    got = evaluate.average(_full_eval(products.docs(spark, sf_dir)))
+    return got.select("bands", "rows", *(_round(c, c) for c in ("f1_star", "pc", "pq", "fraction")))
+
+
 # --- similarities ------------------------------------------------------------------
 
 
@@ -431,7 +449,11 @@ def q_tuning_best(spark, sf_dir):
 
 @query()
 def q_msm_eval(spark, sf_dir):
-    return evaluate.average(evaluate.evaluate_msm(_cleaned(spark, sf_dir), ((6, 10),), lambda p: sampling.bootstrap(p, RATIO, 2)), ("f1_star", "fraction"))
+    return _msm_average(cluster._written(_cleaned(spark, sf_dir)))
+
+
+def _msm_average(clean):
+    return evaluate.average(evaluate.evaluate_msm(clean, evaluate.GRID, lambda p: sampling.bootstrap(p, RATIO, FULL_SAMPLES)), ("f1_star", "fraction"))
 
 
 # --- look-ups and plots --------------------------------------------------------------
@@ -465,3 +487,12 @@ def q_flatten(spark, sf_dir):
 def q_plot_series(spark, sf_dir):
     got = cluster._written(evaluate.average(evaluate.evaluate_lsh(_sample(spark, sf_dir), GRID)))
     return evaluate.plot_series(got, got, got).select("series", "metric", _round("x", "x"), _round("y", "y"))
+
+
+@query()
+def q_plot_series_full(spark, sf_dir):
+    """The series of the figures: improved and baseline cleaning of the offers, and F1 after clustering."""
+    clean = cluster._written(_cleaned(spark, sf_dir))
+    baseline = cluster._written(words.clean_products_baseline(products.offers(spark, sf_dir)))
+    new, old = (cluster._written(evaluate.average(_full_eval(p.select("pid", "model_id", "words")))) for p in (clean, baseline))
+    return evaluate.plot_series(new, old, _msm_average(clean)).select("series", "metric", _round("x", "x"), _round("y", "y"))

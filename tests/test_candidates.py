@@ -54,3 +54,28 @@ def test_tuning_counts_false_positives(spark, candidates):
         inside = [(i, j) for i, j in candidates if i in name and name[i] == name.get(j)]
         tp = sum(clean[i] == clean[j] for i, j in inside)
         assert (r["tp"], r["fp"], r["fn"]) == (tp, len(inside) - tp, true - tp)
+
+
+def test_series_of_baseline_and_clustering_are_their_own(spark, monkeypatch):
+    assert catalogue.evaluate.GRID[0] == (300, 2) and len(catalogue.evaluate.GRID) == 10 and catalogue.FULL_SAMPLES == 5
+    grid, seen = ((30, 2), (6, 10)), []
+    monkeypatch.setattr(catalogue.evaluate, "GRID", grid)
+    monkeypatch.setattr(catalogue, "FULL_SAMPLES", 2)
+    sample = catalogue.sampling.bootstrap
+    monkeypatch.setattr(catalogue.sampling, "bootstrap", lambda p, ratio, number: seen.append(number) or sample(p, ratio, number))
+    got = {}
+    for r in catalogue.q_plot_series_full(spark, SF).collect():
+        got.setdefault((r["series"], r["metric"]), set()).add((r["x"], r["y"]))
+    assert set(got) == {*((s, m) for s in ("improved", "baseline") for m in ("pc", "pq", "f1_star")), ("improved", "f1")} and seen == [2, 2, 2]
+    for series, products in (("improved", catalogue._cleaned(spark, SF)), ("baseline", catalogue.words.clean_products_baseline(catalogue.products.offers(spark, SF)))):
+        rows = [r.asDict() for r in sample(products.select("pid", "model_id", "words"), catalogue.RATIO, 2).collect()]
+        # The coarse configuration by brute force.
+        shares, n = [], len(rows) // 2
+        for boot in (0, 1):
+            signs = []
+            for r in (r for r in rows if r["boot_id"] == boot):
+                ids = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in r["words"]]
+                signs.append([min(((a * x + c) % lsh.PRIME for x in ids), default=0) for a, c in lsh.coefficients(60)])
+            shares.append(sum(any(x[k : k + 2] == y[k : k + 2] for k in range(0, 60, 2)) for k0, x in enumerate(signs) for y in signs[:k0]) / (n * (n - 1) / 2))
+        assert max(x for x, _ in got[series, "pq"]) == pytest.approx(sum(shares) / 2, abs=1e-6)
+    assert got["improved", "f1_star"] != got["baseline", "f1_star"] and got["improved", "f1"] != got["improved", "f1_star"]
