@@ -215,7 +215,9 @@ def main_blocks(page: str) -> list[str]:
     if articles:
         # The outermost of those that hold the most: parts of an article may be articles themselves.
         main = inside[max(articles)[2]][0]
+        content[:] = False
     else:
+        # An article may be spread over siblings: content outside of the element that holds most of it stays too.
         main = max(((e.depth, w, k) for k, (e, w) in inside.items() if w >= 0.8 * total))
         main = inside[main[2]][0]
         while main.tag not in BLOCK or main.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"):
@@ -223,12 +225,12 @@ def main_blocks(page: str) -> list[str]:
                 break
             main = main.parent
     out = []
-    for owner, texts in blocks:
+    for (owner, texts), good in zip(blocks, content, strict=True):
         e = owner
         while e and e is not main:
             e = e.parent
         text = " ".join("".join(t for _, t in texts).split())
-        if e and text:
+        if (e or good) and text:
             out.append(text)
     return out
 

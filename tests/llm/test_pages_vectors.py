@@ -26,6 +26,14 @@ def test_main_text_without_article():
     assert len(got) == 3 and got[0].startswith("Long") and got[2] == "End."
 
 
+def test_main_text_of_a_split_article():
+    lead = "<p>" + "The lead, with marks. " * 8 + "</p>"
+    body = "".join(f"<p>{i}, " + "More of it, again, in the body. " * 9 + "</p>" for i in range(6))
+    page = f"<body><div class=nav><a>one</a> <a>two</a></div><div id=a><div>{lead}</div><div>{body}</div></div><div><span>x</span></div></body>"
+    got = html_extract.main_text(page).split("\n")
+    assert len(got) == 7 and got[0].startswith("The lead") and got[-1].startswith("5, More")
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!--", "</p>", "<script>", "plain", "<a href='", "<p>a<p>b</div>", "<table><tr><td>x<td>y", "\x00<p>\x00"])
 def test_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str) and isinstance(html_extract.plain_text(page), str)
