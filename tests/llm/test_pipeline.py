@@ -90,6 +90,14 @@ def test_stages(spark, tmp_path):
         assert list(r["ids"]) == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(cut[r["doc_id"]].encode()).hexdigest()
 
 
+def test_repeats_of_fifty_one_short_words_are_cut(spark):
+    passage = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q" + "z" * (k % 2) for k in range(51))
+    assert len(passage.split()) == 51 and 225 <= len(passage) < 240
+    docs = [(i, f"{head} {passage} {tail}", "en", "s", 0) for i, head, tail in ((1, "first of them", "here it ends"), (2, "another one", "and so on"))]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert got[1] == docs[0][1] and passage not in got[2] and len(got[2]) < 40
+
+
 def test_run_agrees_with_the_stages(spark, tmp_path):
     spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
