@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with longest-previous-factor arrays.
+"""Removal of repeated byte strings by what longest-previous-factor arrays say about LENGTH.
 
 In suffix order, the previous and the next smaller position of a suffix are its
 best earlier matches; the longer of the two common prefixes is its longest
@@ -7,6 +7,11 @@ covers it. ``keep="first"`` removes these later copies only; ``keep="none"`` als
 removes what a later position matches (the longest next factor), so every copy
 goes. Matches never cross documents.
 
+Whether the LPF reaches LENGTH needs no LPF array: in the order of suffixes cut to
+LENGTH bytes, equal strings form a block, and a suffix has an earlier match if it
+isn't the block's smallest position (``reaches``). ``longest_previous_factor`` is
+the array itself, which tests hold the blocks against; no query computes it.
+
 One suffix array over all texts would be a single global sort of every byte, so
 suffixes are first dealt to buckets by content: the smallest hash among the
 substrings of ANCHOR bytes in the LENGTH bytes of a suffix depends on these
