@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,3 +44,17 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_queries_without_the_training_data_part(tmp_path, also):
+    """A copy without the subpackage, with and without the pipeline's file, keeps all other queries."""
+    top = Path(entry.__file__).parent
+    for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if f not in also and (top / f).exists():
+            shutil.copy(top / f, tmp_path)
+    shutil.copytree(top / "sievework", tmp_path / "sievework", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "sievework/llm/__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), *sorted({x.split('_')[0] for x in e.queries()}), set(e.oracle_sql()) <= set(e.queries()))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(sum(x.startswith("q_") for x in entry.queries())), "q", "True"]
