@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from .suffix_dedup import LENGTH, PASSAGE
+
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
@@ -24,3 +26,20 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a,
 least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN least_of ON a = vec_id
 """
+
+# Bytes are two hex digits each, so plain string functions serve; texts are cut up first, since these count from a string's start. A character ends before the next byte that doesn't continue one.
+OP8 = f"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+part AS (SELECT doc_id, 512 * k AS base, substr(h, 1024 * k + 1, 1024 + 2 * {LENGTH}) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1024 + 1)) AS k FROM d)),
+win AS (SELECT doc_id, base + o AS i, md5(substr(h, 2 * o + 1, 2 * {PASSAGE})) AS p, CASE WHEN 2 * o + 2 * {LENGTH} <= length(h) THEN md5(substr(h, 2 * o + 1, 2 * {LENGTH})) END AS s
+    FROM (SELECT doc_id, base, h, unnest(range(0, least(512, length(h) // 2 - {PASSAGE} + 1))) AS o FROM part WHERE length(h) >= 2 * {PASSAGE})),
+flag AS (SELECT doc_id, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) > 1 AS later, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS every FROM win),
+hit AS (SELECT doc_id, i, max(CASE WHEN later THEN i END) OVER w AS p, max(CASE WHEN every THEN i END) OVER w AS s FROM flag WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+byte AS (SELECT doc_id, base + o AS i, substr(h, 2 * o + 1, 2) AS x FROM (SELECT doc_id, base, h, unnest(range(0, least(512, length(h) // 2))) AS o FROM part)),
+cut AS (SELECT b.doc_id, b.i, x, coalesce(b.i < p + {PASSAGE}, false) AS later, coalesce(b.i < s + {LENGTH}, false) AS every
+    FROM byte b ASOF LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.i <= b.i),
+letter AS (SELECT *, sum((x < '80' OR x >= 'C0')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS c, every AND NOT coalesce(lag(every) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM cut),
+whole AS (SELECT *, max(later) OVER (PARTITION BY doc_id, c) AS gone FROM letter),
+got AS (SELECT doc_id, count(*) FILTER (every) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT every) AS kept, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS left_text FROM whole GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, decode(unhex(coalesce(left_text, ''))) AS text FROM d LEFT JOIN got USING (doc_id)
+"""

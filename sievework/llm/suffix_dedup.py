@@ -1,24 +1,25 @@
-"""Removal of repeated byte strings by what longest-previous-factor arrays say about LENGTH.
+"""Removal of repeated byte strings by longest-previous-factor arrays.
 
-In suffix order, the previous and the next smaller position of a suffix are its
-best earlier matches; the longer of the two common prefixes is its longest
-previous factor (LPF). A byte is a repeat if a suffix whose LPF reaches LENGTH
-covers it. ``keep="first"`` removes these later copies only; ``keep="none"`` also
-removes what a later position matches (the longest next factor), so every copy
-goes. Matches never cross documents.
-
-Whether the LPF reaches LENGTH needs no LPF array: in the order of suffixes cut to
-LENGTH bytes, equal strings form a block, and a suffix has an earlier match if it
-isn't the block's smallest position (``reaches``). ``longest_previous_factor`` is
-the array itself, which tests hold the blocks against; no query computes it.
+In suffix order, the previous and the next suffix of a smaller position are the
+best earlier matches of a suffix; the longer of the two common prefixes is its
+longest previous factor (LPF). A byte is a later copy if a suffix whose LPF
+reaches LENGTH covers it. The longest next factor, the same with larger
+positions, tells what a later position matches, so that every copy can go.
+Matches never cross documents.
 
 One suffix array over all texts would be a single global sort of every byte, so
 suffixes are first dealt to buckets by content: the smallest hash among the
 substrings of ANCHOR bytes in the LENGTH bytes of a suffix depends on these
 bytes only, so equal strings meet in the same bucket. Consecutive suffixes of one
-bucket form a run. Runs that are equal as a whole are told by their hash; only
-runs that share a bucket with different ones (the edges of repeated passages)
-are compared byte by byte, by suffix arrays of their buckets.
+bucket form a run, and equal runs are aggregated before anything is compared: all
+but the first are later copies from end to end, and the first stands for them.
+Runs that share a bucket with different ones (the edges of repeated passages)
+are compared byte by byte, by suffix and LPF arrays of their buckets.
+
+A bucket of more than HOT different runs is dealt on with the longest anchor there
+is, the whole string of LENGTH bytes. Such a bucket holds copies of one string
+alone: its suffix order is the order of positions, every common prefix is LENGTH,
+and so is the LPF of all but the smallest position, which an aggregate finds.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ from . import common
 
 LENGTH = 400
 ANCHOR = 150
+#: Repeated passages: fewer bytes than any 51 words take in the documents at hand (225), so none of more than fifty words stays.
+PASSAGE, PASSAGE_ANCHOR = 200, 90
 #: Suffixes of one step over a long text.
 SEGMENT = 1 << 18
 #: Suffixes sorted at once; each takes LENGTH bytes.
 SORT_AT_ONCE = 50_000
-#: Beyond so many different runs a bucket is dealt on by the hashes of its strings, over all tasks.
+#: Beyond so many different runs a bucket is dealt on by its whole strings, over all tasks.
 HOT = 512
 _LUT = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=7) | 1 for i in range(256)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -105,24 +108,25 @@ def runs(data: np.ndarray, length: int, anchor: int):
     return low[first], context, first, count, again
 
 
-def segments(raw: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(offset, bytes) of overlapping parts of a text; each suffix start is in one part."""
+def segments(raw: bytes, length: int, regions: list[dict] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, bytes) of overlapping parts of a text, or of its regions; each suffix start is in one part."""
     data = np.frombuffer(raw, np.uint8)
-    for at in range(0, max(0, len(data) - length + 1), SEGMENT):
-        yield at, data[at : at + SEGMENT + length - 1]
+    for start, end in [(0, len(data))] if regions is None else [(r["start"], r["end"]) for r in regions]:
+        for at in range(start, max(start, end - length + 1), SEGMENT):
+            yield at, data[at : min(end, at + SEGMENT + length - 1)]
 
 
 RUNS = "did long, tid long, bucket long, context long, start int, count int, own boolean"
 
 
 def text_runs(documents: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The runs of every text; ``own`` marks a start that repeats within its run, by itself."""
+    """The runs of (did, tid, text, regions); ``own`` marks starts that repeat within the same part of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for did, tid, text in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text")), strict=True):
-                for at, data in segments((text or "").encode("utf-8", "surrogatepass"), length):
+            for did, tid, text, regions in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text", "regions")), strict=True):
+                for at, data in segments((text or "").encode("utf-8", "surrogatepass"), length, regions):
                     bucket, context, first, count, again = runs(data, length, anchor)
                     out.append((did, tid, bucket, context, first + at, count, np.zeros(len(first), bool)))
                     if len(again):
@@ -163,59 +167,57 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length
     return order, common_prefix
 
 
+def _nearest_smaller(p: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the nearest one before it, in suffix order, of a smaller position; 0 without one.
+
+    ``p`` are the positions in suffix order, ``edge`` the common prefix of each
+    with the one before. Tables of the minima of 1, 2, 4, ... neighbours let all
+    suffixes step back over larger positions at once, the widest step first.
+    """
+    n = len(p)
+    lows, edges, width = [p], [edge], 1
+    while 2 * width < n:
+        low, least = lows[-1], edges[-1]
+        lows.append(np.minimum(low[width:], low[:-width]))  # of the elements i .. i + 2 * width - 1
+        edges.append(np.minimum(least[width:], least[:-width]))
+        width *= 2
+    at = np.arange(n)  # everything in at .. i - 1 is larger
+    best = np.full(n, np.iinfo(np.int64).max)
+    for low, least in zip(reversed(lows), reversed(edges), strict=True):
+        i = np.flatnonzero(at >= width)
+        i = i[low[at[i] - width] > p[i]]
+        # Leaving ``at`` for the one before crosses its edge.
+        best[i] = np.minimum(best[i], least[at[i] - width + 1])
+        at[i] -= width
+        width //= 2
+    found = at > 0
+    return np.where(found, np.minimum(best, edge[at]), 0)
+
+
 def longest_previous_factor(position: np.ndarray, order: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """LPF of each suffix: the longest common prefix with a suffix of a smaller position.
 
     ``position`` ranks the suffixes, ``order`` is their suffix order and
     ``shared`` the common prefix of each with the one before it in that order.
-    The previous and next smaller positions in suffix order are found with a
-    stack, and the common prefix with them is the least one on the way.
+    The previous and the next smaller position in suffix order are the best of
+    all; the common prefix with them is the least one on the way. For the
+    longest next factor, give the negative positions.
     """
     n = len(order)
-    best = np.zeros(n, np.int64)
-    for step in (1, -1):
-        stack: list[list[int]] = []  # [position, common prefix with what comes next on the way]
-        for i in range(n) if step == 1 else range(n - 1, -1, -1):
-            k = int(order[i])
-            with_last = int(shared[i]) if step == 1 else int(shared[i + 1]) if i + 1 < n else 0
-            p = int(position[k])
-            least = with_last
-            while stack:
-                least = min(least, stack[-1][1])
-                if stack[-1][0] < p:
-                    break
-                stack.pop()
-            if stack:
-                best[k] = max(best[k], least)
-                stack[-1][1] = least
-            stack.append([p, 1 << 62])
-    return best
-
-
-def reaches(position: np.ndarray, order: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous and the longest next factor of each suffix reach ``length``.
-
-    Suffixes that share ``length`` bytes stand together in suffix order. Among
-    them the smaller position is earlier, so the previous smaller position of a
-    suffix reaches ``length`` exactly if it isn't the first of them.
-    """
-    n = len(order)
-    block = np.cumsum(shared < length)  # 1-based
-    first = np.full(block[-1] + 1 if n else 1, np.iinfo(np.int64).max)
-    last = np.full(len(first), -1)
-    p = position[order]
-    np.minimum.at(first, block, p)
-    np.maximum.at(last, block, p)
-    previous, following = np.zeros(n, bool), np.zeros(n, bool)
-    previous[order], following[order] = p > first[block], p < last[block]
-    return previous, following
-
-
-def removed_in_buckets(rows: list[tuple], length: int, keep: str) -> list[tuple[int, int, int, int]]:
-    """(did, tid, start, count) of suffix starts to remove. rows: (bucket, did, tid, start, bytes), whole buckets.
-
-    Suffixes are sorted in parts by the hash of their ``length`` bytes, so that
-    equal strings share a part and memory stays bounded.
+    out = np.zeros(n, np.int64)
+    if n > 1:
+        p = position[order]
+        back = np.concatenate([[0], shared[:0:-1]])  # as met from the other end
+        out[order] = np.maximum(_nearest_smaller(p, shared), _nearest_smaller(p[::-1], back)[::-1])
+    return out
+
+
+def factors(rows: list[tuple], length: int) -> list[tuple[int, int, int, int, bool]]:
+    """(did, tid, start, count, later) of suffix starts that repeat. rows: (bucket, did, tid, start, bytes), whole buckets.
+
+    ``later``: the longest previous factor reaches ``length``; otherwise the
+    longest next factor alone does. Suffixes are sorted in parts by the hash of
+    their ``length`` bytes, so that equal strings share a part and memory stays bounded.
     """
     data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     size = np.array([len(r[4]) for r in rows])
@@ -224,25 +226,26 @@ def removed_in_buckets(rows: list[tuple], length: int, keep: str) -> list[tuple[
     owner = np.repeat(np.arange(len(rows)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1][owner]
+    # Positions run on through the texts in order of did, tid and offset; runs of a text may overlap in its bytes.
     place = np.lexsort((np.array([r[3] for r in rows]), np.array([r[2] for r in rows]), np.array([r[1] for r in rows])))
     rank = np.empty(len(rows), np.int64)
     rank[place] = np.arange(len(rows))
     position = rank[owner] * (SEGMENT + length) + offset
     parts = -(-len(owner) // SORT_AT_ONCE)
-    out_mask = np.zeros(len(owner), bool)
-    if parts > 1:
-        share = np.concatenate([string_hashes(r[4], length) for r in rows]) % np.uint64(parts)
+    state = np.zeros(len(owner), np.int8)  # 1: the next factor reaches, 2: the previous one does
+    share = np.concatenate([string_hashes(r[4], length) for r in rows]) % np.uint64(parts) if parts > 1 else None
     for p in range(parts):
         part = np.flatnonzero(share == p) if parts > 1 else np.arange(len(owner))
         order, shared = suffix_order(data, at[owner[part]] + offset[part], group[part], length)
-        previous, following = reaches(position[part], order, shared, length)
-        out_mask[part] = previous if keep == "first" else previous | following
-    hit = np.flatnonzero(out_mask)
+        previous = longest_previous_factor(position[part], order, shared) >= length
+        following = longest_previous_factor(-position[part], order, shared) >= length
+        state[part] = np.where(previous, 2, following)
+    hit = np.flatnonzero(state)
     if not len(hit):
         return []
-    edge = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(owner[hit], prepend=-1) != 0))
+    edge = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(owner[hit], prepend=-1) != 0) | (np.diff(state[hit], prepend=0) != 0))
     n = np.diff(np.append(edge, len(hit)))
-    return [(rows[owner[h]][1], rows[owner[h]][2], int(rows[owner[h]][3] + offset[h]), int(k)) for h, k in zip(hit[edge], n, strict=True)]
+    return [(rows[owner[h]][1], rows[owner[h]][2], int(rows[owner[h]][3] + offset[h]), int(k), bool(state[h] == 2)) for h, k in zip(hit[edge], n, strict=True)]
 
 
 def string_hashes(raw: bytes, length: int) -> np.ndarray:
@@ -250,15 +253,15 @@ def string_hashes(raw: bytes, length: int) -> np.ndarray:
     return np.concatenate([_hashes(_sums(data), length) for _, data in segments(raw, length)])
 
 
-REMOVED = "did long, tid long, start int, count int"
+REPEATS = "did long, tid long, start int, count int, later boolean"
 
 
-def _removed_batch(found: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*found, strict=True)) if found else [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["did", "tid", "start", "count"])
+def _repeats_batch(found: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*found, strict=True)) if found else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["did", "tid", "start", "count", "later"])
 
 
-def compare_buckets(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+def compare_buckets(contexts: DataFrame, length: int) -> DataFrame:
     """Repeats within the buckets of (bucket, did, tid, start, bytes), sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,15 +270,15 @@ def compare_buckets(contexts: DataFrame, length: int, keep: str) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "did", "tid", "start", "bytes")), strict=True):
                 if row[0] != now:
                     if taken >= SORT_AT_ONCE:
-                        yield _removed_batch(removed_in_buckets(rows, length, keep))
+                        yield _repeats_batch(factors(rows, length))
                         rows, taken = [], 0
                     now = row[0]
                 rows.append(row)
                 taken += len(row[4]) - length + 1
         if rows:
-            yield _removed_batch(removed_in_buckets(rows, length, keep))
+            yield _repeats_batch(factors(rows, length))
 
-    return contexts.mapInArrow(run, REMOVED)
+    return contexts.mapInArrow(run, REPEATS)
 
 
 def keys(documents: DataFrame) -> DataFrame:
@@ -285,15 +288,22 @@ def keys(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text", text).withColumn("did", did).withColumn("tid", F.xxhash64(text))
 
 
-def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LENGTH, anchor: int = ANCHOR, keep: str = "none") -> DataFrame:
-    """(did, tid, spans) of texts with something to remove; spans: sorted disjoint (start, end) in bytes.
+_SPAN = "array<struct<start:int,end:int>>"
+#: Sorted spans put together where they touch.
+_MERGED = f"""aggregate({{}}, cast(array() as {_SPAN}), (acc, x) ->
+    case when size(acc) > 0 and x.start <= element_at(acc, -1).end
+         then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
+         else concat(acc, array(x)) end)"""
+
 
-    Rows with equal doc_id and text count as one document under keep="first".
+def find_repeats(docs: DataFrame, scratch: common.Scratch, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """(did, tid, text, every, later) of the texts of (did, tid, text, regions) that hold a repeat.
+
+    ``every`` and ``later``: sorted disjoint spans (start, end) of the bytes of
+    all copies, and of all but the first by (did, tid, start). With regions, only
+    strings inside of them count. Rows with equal did and tid are one document.
     """
-    if keep not in ("none", "first"):
-        raise ValueError("keep is 'none' or 'first'")
-    common.session(documents)
-    docs = keys(documents).where(F.octet_length("text") >= length).select("did", "tid", "text")
+    common.session(docs)
     found = text_runs(docs, length, anchor)
     shared = found.where("not own").groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first"))
     shared = scratch.save(shared, free=True)
@@ -301,30 +311,30 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = LE
     # Runs that occur once alone in their bucket need nothing; that is most of them.
     shared_rows = scratch.save(shared.join(mixed, "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).withColumn("hot", F.coalesce("hot", F.lit(False))).where("mixed or times > 1"), drop=[shared], free=True)
     hits = found.join(shared_rows, ["bucket", "context"], "left").where("own or times is not null")
-    is_first = (F.struct("did", "tid", "start") == F.col("first"))
-    gone = F.col("own") | (F.col("times") > 1) & (F.lit(keep == "none") | ~is_first)
-    detail = F.coalesce(F.col("mixed") & is_first, F.lit(False))
-    if keep == "first":
-        gone = F.when(F.col("own"), F.lit(False)).otherwise((F.col("times") > 1) & ~is_first)
-        # Strings that repeat within one run: the run is compared with itself.
-        detail = detail | F.col("own")
-    flagged = hits.select("did", "tid", "bucket", "start", "count", gone.alias("gone"), detail.alias("detail"), F.coalesce("hot", F.lit(False)).alias("hot")).where("gone or detail")
+    is_first = F.struct("did", "tid", "start") == F.col("first")
+    equal = F.col("own") | (F.col("times") > 1)
+    # Strings that repeat within one part of a text: the part is compared with itself.
+    detail = F.col("own") | F.coalesce(F.col("mixed") & is_first, F.lit(False))
+    later = F.when(F.col("own"), F.lit(False)).otherwise(~is_first)
+    flagged = hits.select("did", "tid", "bucket", "start", "count", equal.alias("equal"), later.alias("later"), detail.alias("detail"), F.coalesce("hot", F.lit(False)).alias("hot")).where("equal or detail")
+    # Sets: rows of equal did and tid say the same.
     flagged = flagged.groupBy("did", "tid").agg(
-        F.collect_list(F.when(F.col("gone"), F.struct("start", "count"))).alias("gone"),
-        F.collect_list(F.when(F.col("detail"), F.struct("bucket", "start", "count", "hot"))).alias("detail"),
+        F.collect_set(F.when(F.col("equal"), F.struct("start", "count", "later"))).alias("equal"),
+        F.collect_set(F.when(F.col("detail"), F.struct("bucket", "start", "count", "hot"))).alias("detail"),
     )
-    work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
+    work = scratch.save(docs.select("did", "tid", "text").join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
     detailed = work.where("size(detail) > 0").select("did", "tid", "text", "detail")
-    contexts = cut_contexts(detailed, length)
-    dealt = contexts.repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
-    compared = compare_buckets(dealt, length, keep).unionByName(compare_hot(detailed.where("exists(detail, d -> d.hot)"), length, keep, scratch))
-    whole = work.select("did", "tid", F.explode("gone").alias("g")).select("did", "tid", "g.start", "g.count")
-    spans = compared.unionByName(whole).groupBy("did", "tid").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("count") + length - 1).alias("end")))).alias("raw"))
-    merged = F.expr("""aggregate(raw, cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
-        case when size(acc) > 0 and x.start <= element_at(acc, -1).end
-             then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             else concat(acc, array(x)) end)""")
-    return work.select("did", "tid", "text").join(spans, ["did", "tid"]).select("did", "tid", "text", merged.alias("spans"))
+    dealt = cut_contexts(detailed, length).repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
+    compared = compare_buckets(dealt, length).unionByName(compare_hot(detailed.where("exists(detail, d -> d.hot)"), length, scratch))
+    whole = work.select("did", "tid", F.explode("equal").alias("g")).select("did", "tid", "g.start", "g.count", "g.later")
+    spans = compared.unionByName(whole).select("did", "tid", "later", F.struct("start", (F.col("start") + F.col("count") + length - 1).alias("end")).alias("span"))
+    spans = spans.groupBy("did", "tid").agg(F.array_sort(F.collect_list("span")).alias("all_spans"), F.array_sort(F.collect_list(F.when(F.col("later"), F.col("span")))).alias("later_spans"))
+    return work.select("did", "tid", "text").join(spans, ["did", "tid"]).select("did", "tid", "text", F.expr(_MERGED.format("all_spans")).alias("every"), F.expr(_MERGED.format("later_spans")).alias("later"))
+
+
+def whole_texts(documents: DataFrame, length: int) -> DataFrame:
+    """(did, tid, text, regions) of the texts that hold a string of ``length`` bytes, to be searched as a whole."""
+    return keys(documents).where(F.octet_length("text") >= length).select("did", "tid", "text", F.lit(None).cast(_SPAN).alias("regions"))
 
 
 def cut_contexts(work: DataFrame, length: int) -> DataFrame:
@@ -342,11 +352,12 @@ def cut_contexts(work: DataFrame, length: int) -> DataFrame:
     return work.mapInArrow(run, "bucket long, did long, tid long, start int, bytes binary")
 
 
-def compare_hot(work: DataFrame, length: int, keep: str, scratch: common.Scratch) -> DataFrame:
-    """Repeats within hot buckets, by the hashes of single strings.
+def compare_hot(work: DataFrame, length: int, scratch: common.Scratch) -> DataFrame:
+    """Repeats within hot buckets, which are dealt on with anchors of ``length`` bytes.
 
     A bucket that holds a large share of all rows is too much for one task; equal
-    strings of it meet in partial aggregates and a join that can be split.
+    strings of it meet in partial aggregates and a join that can be split. The
+    smallest position of a string has no previous factor, all others reach it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +372,7 @@ def compare_hot(work: DataFrame, length: int, keep: str, scratch: common.Scratch
 
     rows = work.mapInArrow(run, "bucket long, hash long, did long, tid long, start int")
     equal = scratch.save(rows.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first")).where("times > 1"))
-    found = rows.join(equal, ["bucket", "hash"])
-    if keep == "first":
-        found = found.where(F.struct("did", "tid", "start") != F.col("first"))
-    return found.select("did", "tid", "start", F.lit(1).alias("count"))
+    return rows.join(equal, ["bucket", "hash"]).select("did", "tid", "start", F.lit(1).alias("count"), (F.struct("did", "tid", "start") != F.col("first")).alias("later"))
 
 
 def _kept(raw: bytes, spans: list[dict]) -> bytes:
@@ -375,42 +383,73 @@ def _kept(raw: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def digest(documents: DataFrame, scratch: common.Scratch | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, without any copy of repeated strings.
-
-    Null texts are empty; texts shorter than ``length`` bytes lose nothing.
-    Repeated rows are copies of each other and lose all. Extra columns are not
-    read; an empty table gives an empty result.
+def _kept_text(text: str, spans: list[dict]) -> str:
+    """The characters of which no byte is in a span."""
+    raw = text.encode("utf-8", "surrogatepass")
+    continued = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    wide, at = [], 0
+    for s in spans:
+        start, end = s["start"], s["end"]
+        while continued(start):
+            start -= 1
+        while continued(end):
+            end += 1
+        wide.append({"start": max(start, at), "end": end})
+        at = end
+    return _kept(raw, wide).decode("utf-8", "surrogatepass")
+
+
+def digest(documents: DataFrame, scratch: common.Scratch | None = None, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text of every row.
+
+    The digest is of what is left without any copy of strings of ``length`` bytes
+    that repeat. ``text`` is the text without passages of ``passage`` bytes that
+    an earlier document, or the text itself before, holds: the first copy stays.
+    A string of ``length`` bytes only repeats inside of passages that do, so it
+    is searched there alone. Null texts are empty; repeated rows are copies of each
+    other and lose all in the digest, and are one document for ``text``. Extra
+    columns are not read; an empty table gives an empty result.
     """
+    if passage > length:
+        raise ValueError("passage must not exceed length")
     scratch = scratch or common.Scratch(documents.sparkSession)
-    found = find_repeats(documents, scratch, length)
+    rows = keys(documents)
+    passages = scratch.save(find_repeats(whole_texts(documents, passage), scratch, passage, passage * PASSAGE_ANCHOR // PASSAGE), free=True)
+    copied = rows.groupBy("did", "tid").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    regions = passages.select("did", "tid", "text", F.expr(f"filter(every, s -> s.end - s.start >= {length})").alias("regions")).where("size(regions) > 0")
+    # Of a row that is there more than once, two tell that it repeats.
+    regions = regions.join(copied, ["did", "tid"], "left").withColumn("copy", F.explode(F.expr("sequence(1, if(times is null, 1, 2))")))
+    every = find_repeats(regions, scratch, length).select("did", "tid", "every")
+    changed = passages.select("did", "tid", "text", "later").join(every, ["did", "tid"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                got.append((sum(s["end"] - s["start"] for s in spans), len(spans), hashlib.sha256(_kept(text.encode("utf-8", "surrogatepass"), spans)).hexdigest()))
-            cols = list(zip(*got, strict=True)) if got else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["did", "tid", "n_removed", "n_spans", "sha"])
-
-    changed = scratch.save(found.mapInArrow(run, "did long, tid long, n_removed long, n_spans long, sha string"), free=True)
-    rows = keys(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+            for text, every, later in zip(*(batch.column(c).to_pylist() for c in ("text", "every", "later")), strict=True):
+                every = every or []
+                sha = hashlib.sha256(_kept(text.encode("utf-8", "surrogatepass"), every)).hexdigest()
+                got.append((sum(s["end"] - s["start"] for s in every), len(every), sha, _kept_text(text, later) if later else None))
+            cols = list(zip(*got, strict=True)) if got else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["did", "tid", "n_removed", "n_spans", "sha", "left_text"])
+
+    changed = scratch.save(changed.mapInArrow(run, "did long, tid long, n_removed long, n_spans long, sha string, left_text string"), drop=[passages], free=True)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), "text")
     out = rows.join(changed, ["did", "tid"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("left_text", "text").alias("text"))
 
 
-def remove_later_copies(documents: DataFrame, scratch: common.Scratch, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def remove_later_copies(documents: DataFrame, scratch: common.Scratch, length: int = PASSAGE, anchor: int = PASSAGE_ANCHOR) -> DataFrame:
     """The documents, each text without strings of ``length`` bytes that an earlier one (by doc_id, then offset) holds.
 
-    What is left may start or end inside a character; broken characters go too.
-    Documents of which no word is left go as a whole. All columns stay; n_chars,
-    where there is one, follows the text.
+    Characters of which a byte is removed go as a whole. Documents of which no
+    word is left go. All columns stay; n_chars, where there is one, follows the text.
     """
-    found = find_repeats(documents, scratch, length, anchor, keep="first")
+    found = find_repeats(whole_texts(documents, length), scratch, length, anchor).where("size(later) > 0").select("did", "tid", "text", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_kept(t.encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            got = [_kept_text(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True)]
             got = [t if common.words_of(t) else "" for t in got]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), pa.array(got, pa.string())], ["did", "tid", "left_text"])
 
