@@ -1,13 +1,25 @@
-"""Language-model scores of documents from a log-bilinear model.
-
-Every word belongs to a class: the most frequent words are classes of their own,
-the others share a class by their ending. The model predicts the class of a
-token from the two before it: the context vector is a sum of their transformed
-embeddings, its products with the output embeddings of all classes give a
-normalised distribution. A word has the add-one share of its class. The
-parameters are fitted in numpy by noise-contrastive estimation from the counts
-of class triples over the whole training corpus; their number is bounded by
-CLASSES^3, whatever the corpus, so they fit the driver.
+"""Language-model scoring with a log-bilinear model.
+
+The model gives each token a distribution over all words from the two tokens
+before it: the context vector is the sum of their embeddings, one set for each
+place, and its products with output embeddings are the scores. To keep the
+normalisation cheap the words stand in about sqrt(V) classes: the scores of all
+classes give a distribution over classes, those of the words of one class a
+distribution within it, each by one matrix product for many tokens. Their product
+is normalised over the vocabulary.
+
+Own embeddings have the words with a share of at least 1 / OWN_SHARE of the training
+tokens (and OWN_LEAST occurrences). All others share SHARED embeddings by
+their ending, and of the probability of theirs a word has its add-one share, one
+for words that training hasn't seen.
+
+The parameters are fitted in numpy by noise-contrastive estimation on every
+training token (once, but for small corpora), by Adagrad, in ROUNDS rounds of growing folds of the
+documents. In a round each task fits a replica on its part of the fold; the
+changes of an embedding are averaged over the replicas by how often they
+changed it, block by block on the executors. So the steps and what they send
+grow with the input, and the parameters, at most OWN_SHARE + SHARED + 1 rows of
+3 * DIMS + 4 numbers, don't.
 
 Word counts cover all training documents. Frequent words, at most FREQUENT, go to
 the scoring tasks; the counts of all others come by a join on the word's hash.
@@ -15,6 +27,7 @@ the scoring tasks; the counts of all others come by a join on the word's hash.
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
@@ -23,14 +36,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, OWN = 128, 64
-DIMS, NOISE, BATCH, STEPS, RATE = 24, 32, 2048, 1500, 0.02
+SHARED, OWN_SHARE, OWN_LEAST = 64, 1 << 16, 10
+DIMS, NOISE, NOISE_WITHIN, BATCH, RATE, SEED = 24, 32, 4, 1024, 0.1, 5
+#: Eighths of the training documents that each round learns from; together every document once.
+ROUNDS = (1, 2, 5)
+#: Passes over the tokens of a small corpus: as many as make LEAST_TOKENS, PASSES_MOST at most; a larger one has one.
+LEAST_TOKENS, PASSES_MOST = 1_500_000, 4
+#: A replica sees at least about so many tokens.
+REPLICA_TOKENS = 1_000_000
+#: Items whose changes are sent as one row, and tokens that are scored at once.
+BLOCK, SCORE_AT_ONCE = 1024, 1 << 15
 #: A word is frequent from 1 / FREQUENT of all training tokens on, so there are at most so many.
 FREQUENT = 500_000
 #: Words that a task holds at once.
@@ -45,8 +67,8 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def ending_class(word: bytes) -> int:
-    """Class of a word that is none by itself: OWN + 1 and up, by its last two bytes."""
-    return OWN + 1 + xxhash.xxh32_intdigest(word[-2:]) % (CLASSES - OWN - 1)
+    """1 to SHARED, by the last two bytes of the word."""
+    return 1 + xxhash.xxh32_intdigest(word[-2:]) % SHARED
 
 
 def signed_hash(word: bytes) -> int:
@@ -55,7 +77,7 @@ def signed_hash(word: bytes) -> int:
 
 
 def count_words(documents: DataFrame) -> DataFrame:
-    """(h, class, n) of the words of training documents, the end of a text included; class: by ending."""
+    """(h, class, n) of the words of training documents, the end of a text (class 0) included; class: by ending."""
 
     def rows(count: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -80,20 +102,20 @@ def count_words(documents: DataFrame) -> DataFrame:
 
 
 class Words(dict):
-    """Numbers the words that a task meets; ``classes`` and ``logs`` are by number. A log of nan: not among the frequent words."""
+    """Numbers the words that a task meets; ``items`` and ``logs`` are by number. A log of nan: not among the frequent words."""
 
-    def __init__(self, own: dict[int, int], known: np.ndarray, logs: np.ndarray):
-        """own: class by hash; known: sorted hashes of the frequent words, with their logs."""
-        self.own, self.known, self.known_logs = own, known, logs
+    def __init__(self, numbering: Numbering, known: np.ndarray, logs: np.ndarray):
+        """known: sorted hashes of the frequent words, with their logs."""
+        self.numbering, self.known, self.known_logs = numbering, known, logs
         self.hashes: list[int] = []
-        self.classes: list[int] = []
+        self.items: list[int] = []
         self.logs: list[float] = []
 
     def __missing__(self, word: bytes) -> int:
         h = signed_hash(word)
         self[word] = n = len(self.hashes)
         self.hashes.append(h)
-        self.classes.append(0 if not word else self.own.get(h) or ending_class(word))
+        self.items.append(self.numbering.item(word, h))
         self.logs.append(self.log_of(h))
         return n
 
@@ -104,93 +126,223 @@ class Words(dict):
     def trim(self) -> None:
         if len(self) > HOLD:
             self.clear()
-            self.hashes, self.classes, self.logs = [], [], []
+            self.hashes, self.items, self.logs = [], [], []
 
 
-def triples(classes: np.ndarray) -> np.ndarray:
-    """Each token with the two before it as one number; before a text stand two ends."""
-    c = np.concatenate([np.zeros(2, np.int64), classes])
-    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+class Numbering:
+    """Numbers of the items of the model: the end of a text, words of their own and shared endings, those of equal endings together."""
 
+    def __init__(self, hashes: np.ndarray, endings: np.ndarray, times: np.ndarray, shared: np.ndarray, ends: int):
+        """Own words by hash with their ending and count; counts of the other words by ending (from 1 on), and of the end."""
+        kind = np.concatenate([[0], np.arange(1, SHARED + 1), endings]).astype(np.int64)
+        n = np.concatenate([[ends], shared, times]).astype(np.float64)
+        tie = np.concatenate([np.zeros(SHARED + 1, np.int64), hashes])
+        order = np.lexsort((tie, -n, kind))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.counts = n[order]
+        self.end, self.by_ending = int(number[0]), number[: SHARED + 1].tolist()
+        self.own = dict(zip(hashes.tolist(), number[SHARED + 1 :].tolist(), strict=True))
+        self.ending = np.zeros(len(order), np.int64)  # of the shared items, else 0
+        self.ending[number[1 : SHARED + 1]] = np.arange(1, SHARED + 1)
+
+    def item(self, word: bytes, h: int) -> int:
+        if not word:
+            return self.end
+        found = self.own.get(h)
+        return self.by_ending[ending_class(word)] if found is None else found
 
-def count_triples(documents: DataFrame, own: dict[int, int]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(own, np.zeros(0, np.int64), np.zeros(0)), np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
-            words.trim()
-            numbers = []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not held_out(i):
-                    numbers.append([*map(words.__getitem__, common.words_of(text, lower=True)), words[END]])
-            classes = np.array(words.classes, np.int64)
-            for x in numbers:
-                at, n = np.unique(triples(classes[x]), return_counts=True)
-                total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["triple", "n"])
 
-    return documents.mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+def contexts(items: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's item with those of the two before it, (two before, one before, token); before a text stand two ends."""
+    texts = [np.concatenate([[end, end], x]) for x in items]
+    parts = [np.concatenate([t[k : len(t) - 2 + k] for t in texts] or [np.zeros(0, np.int64)]) for k in range(3)]
+    return parts[0], parts[1], parts[2]
 
 
 class LogBilinear:
-    """p(c | a, b) is softmax over c of (R[a] * C1 + R[b] * C2) . Q[c] + bias[c]; C1 and C2 are vectors."""
+    """log p(z | x, y) = log softmax over classes + log softmax within the class of z, of (first[x] + second[y]) times output embeddings."""
+
+    TABLES = ("first", "second", "out")
 
-    def __init__(self, seed: int = 0):
+    def __init__(self, counts: np.ndarray, seed: int = SEED):
+        """``counts`` of the items; neighbours share a class. Without output embeddings the model gives their smoothed frequencies."""
         rng = np.random.default_rng(seed)
-        self.parameters = {name: rng.normal(0, 0.1, (CLASSES, DIMS)).astype(np.float32) for name in ("first", "second", "out")} | {"bias": np.zeros(CLASSES, np.float32), "c1": np.ones(DIMS, np.float32), "c2": np.ones(DIMS, np.float32)}
-
-    def context(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        p = self.parameters
-        return p["first"][a] * p["c1"] + p["second"][b] * p["c2"]
-
-    def fit(self, triple: np.ndarray, n: np.ndarray, steps: int = STEPS, seed: int = 0) -> LogBilinear:
-        """Noise-contrastive estimation with Adam on triples drawn by their counts; noise comes from the class frequencies."""
-        if not len(triple):
-            return self
-        rng, p = np.random.default_rng(seed), self.parameters
-        order = np.argsort(triple)
-        triple, edge = triple[order], np.cumsum(n[order], dtype=np.float64)
-        a, b, c = triple // CLASSES**2, triple // CLASSES % CLASSES, triple % CLASSES
-        noise = np.bincount(c, n[order], CLASSES) + 1.0
-        noise /= noise.sum()
-        p["bias"][:] = np.log(noise)
-        log_noise = np.log(NOISE * noise).astype(np.float32)
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        s = {k: np.zeros_like(v) for k, v in p.items()}
-        eye = np.eye(CLASSES, dtype=np.float32)
-        for t in range(1, steps + 1):
-            at = np.searchsorted(edge, rng.random(BATCH) * edge[-1], side="right").clip(max=len(edge) - 1)
-            x, y, z = a[at], b[at], c[at]
-            w = rng.choice(CLASSES, NOISE, p=noise)
-            ctx = self.context(x, y)
-            true = (ctx * p["out"][z]).sum(1) + p["bias"][z] - log_noise[z]
-            false = ctx @ p["out"][w].T + p["bias"][w] - log_noise[w]
-            d_true = (1 / (1 + np.exp(-true)) - 1) / BATCH
-            d_false = 1 / (1 + np.exp(-false)) / BATCH
-            d_ctx = d_true[:, None] * p["out"][z] + d_false @ p["out"][w]
-            hot_x, hot_y, hot_z, hot_w = eye[x], eye[y], eye[z], eye[w]
-            g = {
-                "first": hot_x.T @ (d_ctx * p["c1"]), "second": hot_y.T @ (d_ctx * p["c2"]),
-                "out": hot_z.T @ (d_true[:, None] * ctx) + hot_w.T @ (d_false.T @ ctx),
-                "bias": d_true @ hot_z + d_false.sum(0) @ hot_w,
-                "c1": (d_ctx * p["first"][x]).sum(0), "c2": (d_ctx * p["second"][y]).sum(0),
-            }
-            rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
-            for k in p:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] ** 2 - s[k])
-                p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+        v = len(counts)
+        classes = math.ceil(math.sqrt(v))
+        self.edge = np.linspace(0, v, classes + 1).round().astype(np.int64)
+        self.class_of = np.repeat(np.arange(classes), np.diff(self.edge))
+        p = (counts + 1.0) / (counts + 1.0).sum()
+        self.cumulative = np.concatenate([[0.0], np.cumsum(p)])
+        self.class_share = np.add.reduceat(p, self.edge[:-1])
+        self.class_share /= self.class_share.sum()
+        self.log_class = np.log(NOISE * self.class_share).astype(np.float32)
+        self.log_within = np.log(NOISE_WITHIN * p / self.class_share[self.class_of]).astype(np.float32)
+        self.first, self.second, self.out, self.top = (rng.normal(0, 0.1, (n, DIMS)).astype(np.float32) for n in (v, v, v, classes))
+        self.out_bias, self.top_bias = (self.log_within - np.float32(math.log(NOISE_WITHIN))), (self.log_class - np.float32(math.log(NOISE)))
+        self.seen = {k: np.full(classes if k == "top" else v, 1e-3, np.float32) for k in (*self.TABLES, "top")}
+        self.used = np.zeros(v, np.int64)
+
+    def context(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.first[x] + self.second[y]
+
+    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray, bias: np.ndarray | None = None) -> None:
+        """Adagrad by row: the gradients of equal rows are summed."""
+        order = np.argsort(rows, kind="stable")
+        start = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        g, row, seen = np.add.reduceat(gradient[order], start, axis=0), rows[order[start]], self.seen[name]
+        seen[row] += (g * g).mean(1)
+        rate = np.float32(RATE) / np.sqrt(seen[row])
+        getattr(self, name)[row] -= g * rate[:, None]
+        if bias is not None:
+            getattr(self, name + "_bias")[row] -= np.add.reduceat(bias[order], start) * rate
+
+    def learn(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> None:
+        """A step of noise-contrastive estimation: classes against NOISE classes for all tokens, words against NOISE_WITHIN words of their class each."""
+        ctx, c = self.context(x, y), self.class_of[z]
+        w = rng.choice(len(self.top), NOISE, p=self.class_share)
+        d_true = 1 / (1 + np.exp(-(ctx * self.top[c]).sum(1) - self.top_bias[c] + self.log_class[c])) - 1
+        d_false = 1 / (1 + np.exp(-ctx @ self.top[w].T - self.top_bias[w] + self.log_class[w]))
+        d_ctx = d_true[:, None] * self.top[c] + d_false @ self.top[w]
+        low, high = self.edge[c], self.edge[c + 1]
+        drawn = self.cumulative[low, None] + rng.random((len(z), NOISE_WITHIN)) * (self.cumulative[high] - self.cumulative[low])[:, None]
+        noise = (np.searchsorted(self.cumulative, drawn, side="right") - 1).clip(low[:, None], high[:, None] - 1)
+        rows = np.concatenate([z[:, None], noise], axis=1)
+        out = self.out[rows]
+        d = 1 / (1 + np.exp(-np.einsum("bd,bkd->bk", ctx, out) - self.out_bias[rows] + self.log_within[rows]))
+        d[:, 0] -= 1
+        d_ctx += np.einsum("bk,bkd->bd", d, out)
+        self._step("out", rows.ravel(), (d[:, :, None] * ctx[:, None, :]).reshape(-1, DIMS), d.ravel())
+        self._step("top", np.concatenate([c, w]), np.concatenate([d_true[:, None] * ctx, d_false.T @ ctx]), np.concatenate([d_true, d_false.sum(0)]))
+        self._step("first", x, d_ctx)
+        self._step("second", y, d_ctx)
+        self.used += np.bincount(rows.ravel(), minlength=len(self.used))
+
+    def fit(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, rng: np.random.Generator, passes: int = 1) -> LogBilinear:
+        """Passes over the tokens, each in a random order."""
+        for _ in range(passes):
+            order = rng.permutation(len(z))
+            for at in range(0, len(z), BATCH):
+                i = order[at : at + BATCH]
+                self.learn(x[i], y[i], z[i], rng)
         return self
 
-    def table(self) -> np.ndarray:
-        """log10 p for every triple, normalised; one matrix product a first class."""
-        out = np.empty((CLASSES, CLASSES, CLASSES))
-        every = np.arange(CLASSES)
-        for a in every:
-            score = (self.context(np.full(CLASSES, a), every) @ self.parameters["out"].T + self.parameters["bias"]).astype(np.float64)
-            top = score.max(1, keepdims=True)
-            out[a] = score - top - np.log(np.exp(score - top).sum(1, keepdims=True))
-        return (out / math.log(10)).ravel()
+    def log10(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """log10 p(z | x, y) of each token: one matrix product with all classes, and one with the words of each class that occurs."""
+        ctx, c = self.context(x, y), self.class_of[z]
+        out = _log_softmax(ctx @ self.top.T + self.top_bias, c)
+        order = np.argsort(c, kind="stable")
+        cut = np.searchsorted(c[order], np.arange(len(self.top) + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            at, own = order[cut[k] : cut[k + 1]], slice(self.edge[k], self.edge[k + 1])
+            out[at] += _log_softmax(ctx[at] @ self.out[own].T + self.out_bias[own], z[at] - self.edge[k])
+        return out / math.log(10)
+
+    def _columns(self) -> np.ndarray:
+        """A row an item: embeddings, bias and what Adagrad has seen."""
+        return np.concatenate([self.first, self.second, self.out, self.out_bias[:, None], *(self.seen[k][:, None] for k in self.TABLES)], axis=1)
+
+    def _top_columns(self) -> np.ndarray:
+        return np.concatenate([self.top, self.top_bias[:, None], self.seen["top"][:, None]], axis=1)
+
+    def changes(self, since: LogBilinear) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, width, rows, weights, change) of what differs; block -1 holds the classes."""
+        change, used = self._columns() - since._columns(), self.used - since.used
+        for block in range(-(-len(used) // BLOCK)):
+            rows = np.flatnonzero(used[block * BLOCK : (block + 1) * BLOCK])
+            if len(rows):
+                yield block, change.shape[1], rows, used[block * BLOCK + rows], change[block * BLOCK + rows]
+        top = self._top_columns() - since._top_columns()
+        yield -1, top.shape[1], np.arange(len(top)), np.full(len(top), max(1, int(used.sum()))), top
+
+    def change(self, block: int, by: np.ndarray) -> None:
+        """Adds a mean change of a block."""
+        if block < 0:
+            self.top += by[:, :DIMS]
+            self.top_bias += by[:, DIMS]
+            self.seen["top"] += by[:, DIMS + 1]
+            return
+        at = slice(block * BLOCK, block * BLOCK + len(by))
+        for k, name in enumerate(self.TABLES):
+            getattr(self, name)[at] += by[:, k * DIMS : (k + 1) * DIMS]
+            self.seen[name][at] += by[:, 3 * DIMS + 1 + k]
+        self.out_bias[at] += by[:, 3 * DIMS]
+
+
+def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at its element ``at``."""
+    top = scores.max(1)
+    return (scores[np.arange(len(at)), at] - top).astype(np.float64) - np.log(np.exp(scores - top[:, None]).sum(1, dtype=np.float64))
+
+
+def _number(words: Words, batch: pa.RecordBatch, training: int | None = None) -> list[np.ndarray]:
+    """The words of the batch's texts by number, ends included; with ``training``, of the training documents in these eighths (a bit map)."""
+    words.trim()
+    out = []
+    for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if training is None or not held_out(i) and training >> eighth(i) & 1:
+            out.append(np.array([*map(words.__getitem__, common.words_of(text, lower=True)), words[END]], np.int64))
+    return out
+
+
+def eighth(doc_id: int | None) -> int:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // FOLDS % sum(ROUNDS)
+
+
+_CHANGES = "block int, width int, rows binary, weights binary, change binary"
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of each block, weighted by row; a block is in one partition."""
+    total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, width, rows, weights, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, weights = np.frombuffer(rows, np.int32), np.frombuffer(weights, np.float64)
+            n = int(rows.max()) + 1
+            sums, by = total.get(block, (np.zeros(0), np.zeros((0, width))))
+            if len(sums) < n:
+                sums, by = np.concatenate([sums, np.zeros(n - len(sums))]), np.concatenate([by, np.zeros((n - len(by), width))])
+                total[block] = sums, by
+            sums[rows] += weights
+            by[rows] += weights[:, None] * np.frombuffer(change, np.float16).reshape(len(rows), width)
+    for block, (sums, by) in total.items():
+        mean = (by / np.maximum(sums, 1)[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.shape[1]], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["block", "width", "change"])
+
+
+def train(docs: DataFrame, numbering: Numbering, tokens: int) -> LogBilinear:
+    """The model fitted on the training documents of (doc_id, text), which hold so many tokens."""
+    spark, model = docs.sparkSession, LogBilinear(numbering.counts)
+    if not tokens:
+        model.out[:], model.top[:] = 0, 0
+    parts = docs.coalesce(max(1, -(-tokens // REPLICA_TOKENS)))
+    passes = min(PASSES_MOST, max(1, -(-LEAST_TOKENS // max(1, tokens))))
+    done = 0
+    for number, eighths in enumerate(ROUNDS if tokens else ()):
+        bits = ((1 << eighths) - 1) << done
+        done += eighths
+        sent = spark.sparkContext.broadcast((model, numbering))  # bounded by OWN_SHARE
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, bits=bits, number=number) -> Iterator[pa.RecordBatch]:
+            start, numbered = sent.value
+            replica, words = copy.deepcopy(start), Words(numbered, np.zeros(0, np.int64), np.zeros(0))
+            rng = np.random.default_rng((SEED, number, TaskContext.get().partitionId()))
+            for batch in batches:
+                texts, items = _number(words, batch, bits), np.array(words.items, np.int64)
+                replica.fit(*contexts([items[x] for x in texts], numbered.end), rng, passes)
+            if (replica.used != start.used).any():
+                for block, width, rows, weights, change in replica.changes(start):
+                    half = change.clip(-6e4, 6e4).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), pa.array([width], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), weights.astype(np.float64), half))],
+                        ["block", "width", "rows", "weights", "change"],
+                    )
+
+        mean = parts.mapInArrow(run, _CHANGES).repartition("block").mapInArrow(_mixed, "block int, width int, change binary").toArrow()
+        for block, width, change in zip(*(c.to_pylist() for c in mean.columns), strict=True):
+            model.change(block, np.frombuffer(change, np.float32).reshape(-1, width))
+        sent.destroy()
+    return model
 
 
 def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
@@ -198,58 +350,58 @@ def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFr
 
     A null text is empty and has its end alone; a null doc_id is in the training
     part. Repeated rows count and are scored each by itself. With no training
-    document all counts are 0 and the model is uniform. Extra columns are not read.
+    document all counts are 0 and the model gives the end and the SHARED endings
+    the same probability each. Extra columns are not read.
     """
     spark = common.session(documents)
     scratch = scratch or common.Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = scratch.save(count_words(docs), free=True)
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("n") >= F.lit(total / FREQUENT)).toArrow()
-    hashes, times = top.column("h").to_numpy(), top.column("n").to_numpy().astype(np.int64)
-    order = np.lexsort((hashes, -times))
-    own_hashes = hashes[order][top.column("class").to_numpy()[order] != 0][:OWN].tolist()
-    own = {h: i + 1 for i, h in enumerate(own_hashes)}
-    if END_HASH not in set(hashes.tolist()):  # a corpus of very long texts
-        end = counts.where(F.col("class") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        hashes, times = np.append(hashes, END_HASH), np.append(times, end)
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("class") == 0, F.col("n"))), F.lit(0))).first()
+    top = counts.where("class <> 0").where(F.col("n") >= F.lit(total / FREQUENT)).toArrow()
+    hashes, endings, times = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "class", "n"))
+    least = max(OWN_LEAST, total / OWN_SHARE)
+    own = times >= least
+    # What the words of a shared ending add up to, with one for words that are not known.
+    others = counts.where("class <> 0").where(F.col("n") < F.lit(least)).groupBy("class").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("z")).toArrow()
+    shared, weight = np.zeros(SHARED + 1), np.ones(SHARED + 1)
+    shared[others.column("class").to_numpy()] = others.column("n").to_numpy()
+    weight[others.column("class").to_numpy()] += others.column("z").to_numpy()
+    numbering = Numbering(hashes[own], endings[own], times[own], shared[1:], ends)
+    model = train(docs, numbering, int(total))
+    hashes, times = np.append(hashes, END_HASH), np.append(times, ends)
     order = np.argsort(hashes)
-    hashes, frequent_logs = hashes[order], np.log10(times[order] + 1.0)
-    # What the words of a shared class add up to, with one for words that are not known.
-    shared = counts.where("class <> 0").where(~F.col("h").isin(own_hashes) if own_hashes else F.lit(True)).groupBy("class").agg(F.sum(F.col("n") + 1).alias("z")).toArrow()
-    weight = np.ones(CLASSES)
-    weight[shared.column("class").to_numpy()] += shared.column("z").to_numpy()
-    log_weight = np.log10(weight)
-    found = count_triples(docs, own).toArrow()
-    model = LogBilinear().fit(found.column("triple").to_numpy().astype(np.int64), found.column("n").to_numpy())
+    log_weight = np.log10(weight)[numbering.ending]
     # At most FREQUENT hashes and logs, and the parameters: sizes that do not depend on the input.
-    sent = spark.sparkContext.broadcast((model, own, hashes, frequent_logs))
+    sent = spark.sparkContext.broadcast((model, numbering, hashes[order], np.log10(times[order] + 1.0), log_weight))
     end_known = int(total > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, own_class, hashes, logs = sent.value
-        table, words = lm.table(), Words(own_class, hashes, logs)
+        lm, numbered, hashes, logs, log_weight = sent.value
+        words = Words(numbered, hashes, logs)
         for batch in batches:
-            words.trim()
-            numbers = [[*map(words.__getitem__, common.words_of(t, lower=True)), words[END]] for t in batch.column("text").to_pylist()]
-            classes, log, hashed = np.array(words.classes, np.int64), np.array(words.logs), np.array(words.hashes, np.int64)
-            rare = np.isnan(log)
+            numbers = _number(words, batch)
+            items, log, hashed = np.array(words.items, np.int64), np.array(words.logs), np.array(words.hashes, np.int64)
+            rare, in_shared = np.isnan(log), numbered.ending[items] > 0
             log[rare] = 0
-            cols: list[list] = [[] for _ in range(6)]
-            for x in numbers:
-                x = np.array(x)
-                c, r = classes[x], rare[x]
-                in_shared = c > OWN
-                ids, times = np.unique(x[r], return_counts=True)
-                for col, v in zip(
-                    cols,
-                    (len(x), int(len(x) - r.sum()) - (1 - end_known), float(log[x].sum()), float(log[x[in_shared]].sum()), float(table[triples(c)].sum() - log_weight[c[in_shared]].sum()), [{"h": h, "n": k} for h, k in zip(hashed[ids].tolist(), times.tolist(), strict=True)]),
-                    strict=True,
-                ):
-                    col.append(v)
+            size = np.array([len(x) for x in numbers])
+            at = np.cumsum(size) - size
+            every = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+            x, y, z = contexts([items[n] for n in numbers], numbered.end)
+            model_log = np.concatenate([lm.log10(x[k : k + SCORE_AT_ONCE], y[k : k + SCORE_AT_ONCE], z[k : k + SCORE_AT_ONCE]) for k in range(0, len(z), SCORE_AT_ONCE)] or [np.zeros(0)]) - log_weight[z]
+
+            def summed(values: np.ndarray, at=at) -> np.ndarray:
+                return np.add.reduceat(values, at) if len(at) else values[:0]
+
+            unknown = []
+            for n in numbers:
+                ids, times = np.unique(n[rare[n]], return_counts=True)
+                unknown.append([{"h": h, "n": k} for h, k in zip(hashed[ids].tolist(), times.tolist(), strict=True)])
+            known = summed((~rare[every]).astype(np.int64)) - (1 - end_known)
+            columns = [pa.array(size, pa.int64()), pa.array(known, pa.int64()), *(pa.array(summed(v), pa.float64()) for v in (log[every], np.where(in_shared[every], log[every], 0.0), model_log))]
+            columns.append(pa.array(unknown, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))))
             ids = batch.column("doc_id").to_pylist()
-            arrays = [pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held_out(i) for i in ids]), *arrays], ["doc_id", "held_out", "n_tokens", "frequent_known", "frequent_log", "shared_log", "model_log", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held_out(i) for i in ids], pa.bool_()), *columns], ["doc_id", "held_out", "n_tokens", "frequent_known", "frequent_log", "shared_log", "model_log", "rare"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, frequent_known long, frequent_log double, shared_log double, model_log double, rare array<struct<h:long,n:long>>"
     scored = scratch.save(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), free=True)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def test_longest_previous_factor_against_brute_force():
     for _ in range(5):
         data = rng.integers(97, 99, 60).astype(np.uint8)
         n, most = 40, 20
-        order, shared = suffix_dedup.suffix_order(data, np.arange(n), np.zeros(n, np.int64), most)
+        order, shared = suffix_dedup.suffix_order(data, np.arange(n), np.full(n, most), np.zeros(n, np.int64), most)
         got = suffix_dedup.longest_previous_factor(np.arange(n), order, shared)
         text = data.tobytes()
         for i in range(n):
@@ -175,6 +176,18 @@ def test_longest_previous_factor_against_brute_force():
             assert following[i] == max((next((k for k in range(most) if text[i + k] != text[j + k]), most) for j in range(i + 1, n)), default=0)
 
 
+def test_suffix_order_of_ending_suffixes():
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        text = rng.choice(np.array([0, 0, 97], np.uint8), 50)
+        order, shared = suffix_dedup.suffix_order(np.concatenate([text, np.zeros(9, np.uint8)]), np.arange(50), 50 - np.arange(50), np.zeros(50, np.int64), 8)
+        suffixes = [text[i : i + 8].tobytes() for i in range(50)]
+        assert [suffixes[i] for i in order] == sorted(suffixes)
+        got = suffix_dedup.longest_previous_factor(np.arange(50), order, shared)
+        for i, s in enumerate(suffixes):
+            assert got[i] == max((next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t))) for t in suffixes[:i]), default=0)
+
+
 def test_quality_metrics(spark):
     rows = corpus()
     for t in [r[1] for r in rows] + ["a b c d e a b c d e", "x\nx\n x\nx", "a|b#"]:
@@ -259,13 +272,62 @@ def test_lm_score(spark):
 
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 20, 4000)
-    triple = (rng.integers(0, 20, 4000) * lm_score.CLASSES + a) * lm_score.CLASSES + (a * 3 + 1) % 20  # the last class follows from the one before
-    keys, n = np.unique(triple, return_counts=True)
-    table_ = lm_score.LogBilinear().fit(keys, n, steps=300).table()
-    assert np.allclose((10.0 ** table_.reshape(-1, lm_score.CLASSES)).sum(1), 1)
-    unigram = np.bincount(triple % lm_score.CLASSES, minlength=lm_score.CLASSES) / len(triple)
-    assert table_[triple].mean() > np.log10(unigram[triple % lm_score.CLASSES]).mean() + 0.5
+    y = rng.integers(0, 20, 30_000)
+    x, z = rng.integers(0, 20, 30_000), (y * 3 + 1) % 20  # the token follows from the one before
+    counts = np.bincount(z, minlength=23)
+    model = lm_score.LogBilinear(counts)
+    every = lambda m: 10.0 ** m.log10(np.repeat(x[:50], 23), np.repeat(y[:50], 23), np.tile(np.arange(23), 50)).reshape(50, 23)
+    smooth = (counts + 1) / (counts + 1).sum()
+    model.out[:], model.top[:] = 0, 0
+    assert np.allclose(every(model), smooth, rtol=1e-4)
+    model = lm_score.LogBilinear(counts)
+    model.fit(x, y, z, rng)
+    assert np.allclose(every(model).sum(1), 1, rtol=1e-5)
+    assert model.log10(x, y, z).mean() > np.log10(smooth[z]).mean() + 0.5
+
+
+def test_replicas_are_averaged_by_use():
+    rng = np.random.default_rng(1)
+    counts = np.full(lm_score.BLOCK + 500, 3.0)
+    start = lm_score.LogBilinear(counts)
+    one, two = (lm_score.LogBilinear(counts) for _ in range(2))
+    n = len(counts)
+    one.fit(*(rng.integers(0, n // 2, 5000) for _ in range(3)), rng)
+    two.fit(*(rng.integers(0, n, 5000) for _ in range(3)), rng)
+    rows = [r for m in (one, two) for r in m.changes(start)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([np.asarray(r[k]).clip(-6e4, 6e4).astype(t).tobytes() for r in rows], pa.binary()) for k, t in ((2, np.int32), (3, np.float64), (4, np.float16)))],
+        ["block", "width", "rows", "weights", "change"],
+    )
+    for b in lm_score._mixed(iter([batch])):
+        start.change(b.column(0)[0].as_py(), np.frombuffer(b.column(2)[0].as_py(), np.float32).reshape(-1, b.column(1)[0].as_py()))
+    weight = one.used + two.used
+    at = weight > 0
+    want = (one.out * one.used[:, None] + two.out * two.used[:, None])[at] / weight[at, None]
+    assert np.allclose(start.out[at], want, atol=1e-3)
+    assert np.allclose(start.top, (one.top * one.used.sum() + two.top * two.used.sum()) / weight.sum(), atol=1e-3)
+
+
+def test_lm_score_without_training_part(spark):
+    ids = [i for i in range(200) if lm_score.held_out(i)]
+    got = lm_score.score(table(spark, [(i, "a b", "en", "s") for i in ids])).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0)
+        assert r["score"] == pytest.approx(-3 * math.log10(lm_score.SHARED + 1), rel=1e-5)
+
+
+def test_lm_score_beats_a_bigram_model(spark):
+    """Held out, against an interpolated bigram model of the same words."""
+    t = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = [(i, [*(x or "").encode().lower().split(), b""]) for i, x in t.collect()]
+    training, rest = ([w for i, w in docs if lm_score.held_out(i) is o] for o in (False, True))
+    one, two = Counter(w for d in training for w in d), Counter(p for d in training for p in zip([b"", *d], d, strict=False))
+    total = sum(one.values()) + len(one) + 1
+    bigram = sum(math.log10((two[a, b] + 5 * (one[b] + 1) / total) / (one[a] + 5)) for d in rest for a, b in zip([b"", *d], d, strict=False))
+    got = lm_score.score(t).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[2] == sum(map(len, rest))
+    assert got[0] > bigram > got[1]
 
 
 def fill(sizes, weights, total):
