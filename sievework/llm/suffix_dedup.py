@@ -4,22 +4,22 @@ In suffix order, the previous and the next suffix of a smaller position are the
 best earlier matches of a suffix; the longer of the two common prefixes is its
 longest previous factor (LPF). A byte is a later copy if a suffix whose LPF
 reaches LENGTH covers it. The longest next factor, the same with larger
-positions, tells what a later position matches, so that every copy can go.
-Matches never cross documents.
+positions, tells what a later position matches, so that every copy of strings of
+``reach`` bytes can be told in the same go. Matches never cross documents.
 
 One suffix array over all texts would be a single global sort of every byte, so
 suffixes are first dealt to buckets by content: the smallest hash among the
-substrings of ANCHOR bytes in the LENGTH bytes of a suffix depends on these
-bytes only, so equal strings meet in the same bucket. Consecutive suffixes of one
+substrings of ANCHOR bytes in the first bytes of a suffix depends on these bytes
+only, so equal strings meet in the same bucket. Consecutive suffixes of one
 bucket form a run, and equal runs are aggregated before anything is compared: all
 but the first are later copies from end to end, and the first stands for them.
 Runs that share a bucket with different ones (the edges of repeated passages)
 are compared byte by byte, by suffix and LPF arrays of their buckets.
 
-A bucket of more than HOT different runs is dealt on with the longest anchor there
-is, the whole string of LENGTH bytes. Such a bucket holds copies of one string
-alone: its suffix order is the order of positions, every common prefix is LENGTH,
-and so is the LPF of all but the smallest position, which an aggregate finds.
+A bucket of more than HOT different runs is dealt on with the longest anchors there
+are, the whole strings. Such a bucket holds copies of one string alone: its
+suffix order is the order of positions, every common prefix is the whole, and so
+is the LPF of all but the smallest position, which an aggregate finds.
 """
 
 from __future__ import annotations
@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Strings of which no copy is left in the digest.
 LENGTH = 400
-ANCHOR = 150
 #: Repeated passages: fewer bytes than any 51 words take in the documents at hand (225), so none of more than fifty words stays.
-PASSAGE, PASSAGE_ANCHOR = 200, 90
+PASSAGE, ANCHOR = 200, 70
+#: Longest strings that can be told.
+REACH_MOST = 4096
 #: Suffixes of one step over a long text.
 SEGMENT = 1 << 18
-#: Suffixes sorted at once; each takes LENGTH bytes.
-SORT_AT_ONCE = 50_000
+#: Suffixes sorted at once; each takes the bytes of the longest string.
+SORT_AT_ONCE = 30_000
 #: Beyond so many different runs a bucket is dealt on by its whole strings, over all tasks.
 HOT = 512
 _LUT = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=7) | 1 for i in range(256)], np.uint64)
@@ -55,8 +57,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWER = _powers(_BASE, SEGMENT + LENGTH + 1)
-_INVERSE = _powers(pow(_BASE, -1, 1 << 64), SEGMENT + LENGTH + 1)
+_POWER = _powers(_BASE, SEGMENT + REACH_MOST + 1)
+_INVERSE = _powers(pow(_BASE, -1, 1 << 64), SEGMENT + REACH_MOST + 1)
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -84,86 +86,89 @@ def _sliding(h: np.ndarray, width: int, ufunc) -> np.ndarray:
     return ufunc(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray, length: int, anchor: int):
-    """(bucket, hash, start, count) of the runs of suffix starts in ``data``, and starts that repeat within a run."""
-    starts = len(data) - length + 1
-    if starts <= 0:
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def runs(data: np.ndarray, starts: int, length: int, anchor: int, reach: int):
+    """(bucket, short, long, start, count) of the runs of the first ``starts`` suffixes, and starts that repeat among them.
+
+    ``short`` is a hash of the strings of ``length`` bytes of a run, ``long`` of
+    those of ``reach`` bytes, as far as ``data`` goes.
+    """
     sums = _sums(data)
-    h = _hashes(sums, anchor)
+    h = _hashes(sums[: starts + length], anchor)
     width = length - anchor + 1
     low = _sliding(h, width, np.minimum)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     count = np.diff(np.append(first, starts))
-    context = common.mix((sums[first + count + length - 1] - sums[first]) * _INVERSE[first] + count.astype(np.uint64))
+    short, long = (common.mix((sums[end] - sums[first]) * _INVERSE[first] + (end - first).astype(np.uint64)) for end in (first + count + length - 1, np.minimum(first + count + reach - 1, len(data))))
     # A run can only repeat one of its own strings where its smallest anchor stands in it twice.
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     chosen = int((_sliding(padded, width, np.maximum) == h).sum())
     again = np.zeros(0, np.int64)
     if chosen != len(first):
-        full = _hashes(sums, length)
-        _, back, times = np.unique(full, return_inverse=True, return_counts=True)
+        _, back, times = np.unique(_hashes(sums[: starts + length], length), return_inverse=True, return_counts=True)
         again = np.flatnonzero(times[back] > 1)
-    return low[first], context, first, count, again
+    return low[first], short, long, first, count, again
 
 
-def segments(raw: bytes, length: int, regions: list[dict] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(offset, bytes) of overlapping parts of a text, or of its regions; each suffix start is in one part."""
+def segments(raw: bytes, length: int, reach: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(offset, suffix starts, bytes) of overlapping parts of a text; each suffix start is in one part."""
     data = np.frombuffer(raw, np.uint8)
-    for start, end in [(0, len(data))] if regions is None else [(r["start"], r["end"]) for r in regions]:
-        for at in range(start, max(start, end - length + 1), SEGMENT):
-            yield at, data[at : min(end, at + SEGMENT + length - 1)]
+    for at in range(0, max(0, len(data) - length + 1), SEGMENT):
+        starts = min(SEGMENT, len(data) - length + 1 - at)
+        yield at, starts, data[at : at + starts + reach - 1]
 
 
-RUNS = "did long, tid long, bucket long, context long, start int, count int, own boolean"
+RUNS = "did long, tid long, bucket long, short long, long long, start int, count int, own boolean"
 
 
-def text_runs(documents: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The runs of (did, tid, text, regions); ``own`` marks starts that repeat within the same part of a text."""
+def text_runs(docs: DataFrame, length: int, anchor: int, reach: int) -> DataFrame:
+    """The runs of (did, tid, text); ``own`` marks starts that repeat within the same part of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for did, tid, text, regions in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text", "regions")), strict=True):
-                for at, data in segments((text or "").encode("utf-8", "surrogatepass"), length, regions):
-                    bucket, context, first, count, again = runs(data, length, anchor)
-                    out.append((did, tid, bucket, context, first + at, count, np.zeros(len(first), bool)))
+            for did, tid, text in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text")), strict=True):
+                for at, starts, data in segments(text.encode("utf-8", "surrogatepass"), length, reach):
+                    bucket, short, long, first, count, again = runs(data, starts, length, anchor, reach)
+                    out.append((did, tid, bucket, short, long, first + at, count, np.zeros(len(first), bool)))
                     if len(again):
                         edge = np.flatnonzero(np.diff(again, prepend=-2) != 1)
                         size = np.diff(np.append(edge, len(again)))
                         zero = np.zeros(len(edge), np.uint64)
-                        out.append((did, tid, np.full(len(edge), tid, np.int64).view(np.uint64), zero, again[edge] + at, size, np.ones(len(edge), bool)))
+                        out.append((did, tid, np.full(len(edge), tid, np.int64).view(np.uint64), zero, zero, again[edge] + at, size, np.ones(len(edge), bool)))
             if out:
                 size = [len(x[2]) for x in out]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat([x[0] for x in out], size), pa.int64()),
-                        pa.array(np.repeat([x[1] for x in out], size), pa.int64()),
-                        pa.array(np.concatenate([x[2] for x in out]).view(np.int64)),
-                        pa.array(np.concatenate([x[3] for x in out]).view(np.int64)),
-                        pa.array(np.concatenate([x[4] for x in out]).astype(np.int32)),
-                        pa.array(np.concatenate([x[5] for x in out]).astype(np.int32)),
-                        pa.array(np.concatenate([x[6] for x in out])),
+                        *(pa.array(np.repeat([x[k] for x in out], size), pa.int64()) for k in (0, 1)),
+                        *(pa.array(np.concatenate([x[k] for x in out]).view(np.int64)) for k in (2, 3, 4)),
+                        *(pa.array(np.concatenate([x[k] for x in out]).astype(np.int32)) for k in (5, 6)),
+                        pa.array(np.concatenate([x[7] for x in out])),
                     ],
-                    ["did", "tid", "bucket", "context", "start", "count", "own"],
+                    ["did", "tid", "bucket", "short", "long", "start", "count", "own"],
                 )
 
-    return documents.mapInArrow(run, RUNS)
+    return docs.mapInArrow(run, RUNS)
+
 
+def suffix_order(data: np.ndarray, starts: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order by (group, first ``length`` bytes, position), and the common prefix with the one before, up to ``length``.
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by (group, first ``length`` bytes, position), and the common prefix with the one before, up to ``length``."""
+    ``left`` is how many bytes a suffix has; ``data`` goes on for at least ``length``.
+    """
     window = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
-    text = np.ascontiguousarray(window).view(f"S{length}").ravel()
-    order = np.argsort(text, kind="stable")
+    window[np.arange(length) >= left[:, None]] = 0
+    text = window.view(f"S{length}").ravel()
+    # What ends comes before what goes on with a zero.
+    order = np.argsort(left.clip(max=length), kind="stable")
+    order = order[np.argsort(text[order], kind="stable")]
     order = order[np.argsort(group[order], kind="stable")]
     common_prefix = np.zeros(len(order), np.int64)
     if len(order) > 1:
-        same = (window[order[1:]] == window[order[:-1]]).reshape(len(order) - 1, length)
-        differ = ~same
+        a, b = order[1:], order[:-1]
+        differ = window[a] != window[b]
         common_prefix[1:] = np.where(differ.any(1), differ.argmax(1), length)
-        common_prefix[1:][group[order[1:]] != group[order[:-1]]] = 0
+        common_prefix[1:] = np.minimum(common_prefix[1:], np.minimum(left[a], left[b]))
+        common_prefix[1:][group[a] != group[b]] = 0
     return order, common_prefix
 
 
@@ -212,71 +217,74 @@ def longest_previous_factor(position: np.ndarray, order: np.ndarray, shared: np.
     return out
 
 
-def factors(rows: list[tuple], length: int) -> list[tuple[int, int, int, int, bool]]:
-    """(did, tid, start, count, later) of suffix starts that repeat. rows: (bucket, did, tid, start, bytes), whole buckets.
+def factors(rows: list[tuple], length: int, reach: int) -> list[tuple]:
+    """(did, tid, start, count, later, every) of suffix starts that repeat. rows: (bucket, did, tid, start, count, bytes), whole buckets.
 
-    ``later``: the longest previous factor reaches ``length``; otherwise the
-    longest next factor alone does. Suffixes are sorted in parts by the hash of
-    their ``length`` bytes, so that equal strings share a part and memory stays bounded.
+    ``later``: the longest previous factor reaches ``length``; ``every``: it or
+    the longest next factor reaches ``reach``. Suffixes are sorted in parts by the hash of
+    ``length`` bytes, so that equal strings share a part and memory stays bounded.
     """
-    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    size = np.array([len(r[4]) for r in rows])
+    data = np.frombuffer(b"".join([*(r[5] for r in rows), bytes(reach)]), np.uint8)
+    size = np.array([len(r[5]) for r in rows])
     at = np.cumsum(size) - size
-    count = size - length + 1
+    count = np.array([r[4] for r in rows])
     owner = np.repeat(np.arange(len(rows)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1][owner]
-    # Positions run on through the texts in order of did, tid and offset; runs of a text may overlap in its bytes.
+    # Positions run on through the texts in order of did, tid and offset.
     place = np.lexsort((np.array([r[3] for r in rows]), np.array([r[2] for r in rows]), np.array([r[1] for r in rows])))
     rank = np.empty(len(rows), np.int64)
     rank[place] = np.arange(len(rows))
-    position = rank[owner] * (SEGMENT + length) + offset
+    position = rank[owner] * (SEGMENT + 1) + offset
     parts = -(-len(owner) // SORT_AT_ONCE)
-    state = np.zeros(len(owner), np.int8)  # 1: the next factor reaches, 2: the previous one does
-    share = np.concatenate([string_hashes(r[4], length) for r in rows]) % np.uint64(parts) if parts > 1 else None
+    state = np.zeros(len(owner), np.int8)  # 1: later, 2: every
+    share = np.concatenate([string_hashes(r[5], r[4], length) for r in rows]) % np.uint64(parts) if parts > 1 else None
     for p in range(parts):
         part = np.flatnonzero(share == p) if parts > 1 else np.arange(len(owner))
-        order, shared = suffix_order(data, at[owner[part]] + offset[part], group[part], length)
-        previous = longest_previous_factor(position[part], order, shared) >= length
-        following = longest_previous_factor(-position[part], order, shared) >= length
-        state[part] = np.where(previous, 2, following)
+        order, shared = suffix_order(data, at[owner[part]] + offset[part], size[owner[part]] - offset[part], group[part], reach)
+        previous = longest_previous_factor(position[part], order, shared)
+        following = longest_previous_factor(-position[part], order, shared)
+        state[part] = (previous >= length) + 2 * (np.maximum(previous, following) >= reach)
     hit = np.flatnonzero(state)
     if not len(hit):
         return []
     edge = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(owner[hit], prepend=-1) != 0) | (np.diff(state[hit], prepend=0) != 0))
     n = np.diff(np.append(edge, len(hit)))
-    return [(rows[owner[h]][1], rows[owner[h]][2], int(rows[owner[h]][3] + offset[h]), int(k), bool(state[h] == 2)) for h, k in zip(hit[edge], n, strict=True)]
+    return [(rows[owner[h]][1], rows[owner[h]][2], int(rows[owner[h]][3] + offset[h]), int(k), bool(state[h] & 1), bool(state[h] & 2)) for h, k in zip(hit[edge], n, strict=True)]
 
 
-def string_hashes(raw: bytes, length: int) -> np.ndarray:
-    """The hash of each string of ``length`` bytes."""
-    return np.concatenate([_hashes(_sums(data), length) for _, data in segments(raw, length)])
+def string_hashes(raw: bytes, starts: int, length: int) -> np.ndarray:
+    """The hash of each of the first ``starts`` strings of ``length`` bytes."""
+    return np.concatenate([_hashes(_sums(data), length) for _, _, data in segments(raw[: starts + length - 1], length, length)])
 
 
-REPEATS = "did long, tid long, start int, count int, later boolean"
+REPEATS = "did long, tid long, start int, count int, later boolean, every boolean"
+CONTEXTS = "bucket long, did long, tid long, start int, count int, bytes binary"
 
 
-def _repeats_batch(found: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*found, strict=True)) if found else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["did", "tid", "start", "count", "later"])
+def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    names = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*found, strict=True)) if found else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, names, strict=True)], [n for n, _ in names])
 
 
-def compare_buckets(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeats within the buckets of (bucket, did, tid, start, bytes), sorted by bucket."""
+def compare_buckets(contexts: DataFrame, length: int, reach: int) -> DataFrame:
+    """Repeats within the buckets of rows of CONTEXTS, sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, taken, now = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "did", "tid", "start", "bytes")), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != now:
                     if taken >= SORT_AT_ONCE:
-                        yield _repeats_batch(factors(rows, length))
+                        yield _batch(factors(rows, length, reach), REPEATS)
                         rows, taken = [], 0
                     now = row[0]
                 rows.append(row)
-                taken += len(row[4]) - length + 1
+                taken += row[4]
         if rows:
-            yield _repeats_batch(factors(rows, length))
+            yield _batch(factors(rows, length, reach), REPEATS)
 
     return contexts.mapInArrow(run, REPEATS)
 
@@ -296,69 +304,80 @@ _MERGED = f"""aggregate({{}}, cast(array() as {_SPAN}), (acc, x) ->
          else concat(acc, array(x)) end)"""
 
 
-def find_repeats(docs: DataFrame, scratch: common.Scratch, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(did, tid, text, every, later) of the texts of (did, tid, text, regions) that hold a repeat.
+def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = PASSAGE, anchor: int = ANCHOR, reach: int | None = None) -> DataFrame:
+    """(did, tid, text, later, every) of the texts with a repeat, a scratch table.
 
-    ``every`` and ``later``: sorted disjoint spans (start, end) of the bytes of
-    all copies, and of all but the first by (did, tid, start). With regions, only
-    strings inside of them count. Rows with equal did and tid are one document.
+    ``later``: sorted disjoint spans (start, end) of the bytes of all copies of
+    strings of ``length`` bytes but the first by (did, tid, start); ``every``: of all
+    copies of strings of ``reach`` bytes (none without ``reach``), which must not be
+    less. Rows with equal did and tid are one document for ``later``.
     """
-    common.session(docs)
-    found = text_runs(docs, length, anchor)
-    shared = found.where("not own").groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first"))
+    if not 0 < anchor <= length <= (reach or length) <= REACH_MOST:
+        raise ValueError(f"anchor, length and reach must not fall, nor exceed {REACH_MOST}")
+    common.session(documents)
+    look = reach or length
+    docs = keys(documents).where(F.octet_length("text") >= length).select("did", "tid", "text")
+    found = text_runs(docs, length, anchor, look)
+    shared = found.where("not own").groupBy("bucket", "short", "long").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first"))
     shared = scratch.save(shared, free=True)
-    mixed = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket", F.lit(True).alias("mixed"), (F.col("contexts") > HOT).alias("hot"))
+    in_short = shared.groupBy("bucket", "short").agg(F.min("first").alias("short_first"), F.sum("times").alias("short_times"))
+    mixed = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts"))
     # Runs that occur once alone in their bucket need nothing; that is most of them.
-    shared_rows = scratch.save(shared.join(mixed, "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).withColumn("hot", F.coalesce("hot", F.lit(False))).where("mixed or times > 1"), drop=[shared], free=True)
-    hits = found.join(shared_rows, ["bucket", "context"], "left").where("own or times is not null")
-    is_first = F.struct("did", "tid", "start") == F.col("first")
-    equal = F.col("own") | (F.col("times") > 1)
+    shared_rows = shared.join(mixed.where("contexts > 1"), "bucket", "left").where("contexts is not null or times > 1").join(in_short, ["bucket", "short"])
+    shared_rows = shared_rows.select("bucket", "short", "long", "times", "first", "short_first", "short_times", F.coalesce("contexts", F.lit(1)).alias("contexts"))
+    shared_rows = scratch.save(shared_rows, drop=[shared], free=True)
+    hits = found.join(shared_rows, ["bucket", "short", "long"], "left").where("own or times is not null")
+    here = F.struct("did", "tid", "start")
+    later = ~F.col("own") & (F.col("short_times") > 1) & (here != F.col("short_first"))
+    every = ~F.col("own") & (F.col("times") > 1) & F.lit(reach is not None)
     # Strings that repeat within one part of a text: the part is compared with itself.
-    detail = F.col("own") | F.coalesce(F.col("mixed") & is_first, F.lit(False))
-    later = F.when(F.col("own"), F.lit(False)).otherwise(~is_first)
-    flagged = hits.select("did", "tid", "bucket", "start", "count", equal.alias("equal"), later.alias("later"), detail.alias("detail"), F.coalesce("hot", F.lit(False)).alias("hot")).where("equal or detail")
+    detail = F.col("own") | (F.col("contexts") > 1) & (here == F.col("first"))
+    flagged = hits.select("did", "tid", "bucket", "start", "count", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in ((later, "later"), (every, "every"), (detail, "detail"), (F.col("contexts") > HOT, "hot"))))
     # Sets: rows of equal did and tid say the same.
-    flagged = flagged.groupBy("did", "tid").agg(
-        F.collect_set(F.when(F.col("equal"), F.struct("start", "count", "later"))).alias("equal"),
+    flagged = flagged.where("later or every or detail").groupBy("did", "tid").agg(
+        F.collect_set(F.when(F.col("later") | F.col("every"), F.struct("start", "count", "later", "every"))).alias("equal"),
         F.collect_set(F.when(F.col("detail"), F.struct("bucket", "start", "count", "hot"))).alias("detail"),
     )
-    work = scratch.save(docs.select("did", "tid", "text").join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
+    work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
     detailed = work.where("size(detail) > 0").select("did", "tid", "text", "detail")
-    dealt = cut_contexts(detailed, length).repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
-    compared = compare_buckets(dealt, length).unionByName(compare_hot(detailed.where("exists(detail, d -> d.hot)"), length, scratch))
-    whole = work.select("did", "tid", F.explode("equal").alias("g")).select("did", "tid", "g.start", "g.count", "g.later")
-    spans = compared.unionByName(whole).select("did", "tid", "later", F.struct("start", (F.col("start") + F.col("count") + length - 1).alias("end")).alias("span"))
-    spans = spans.groupBy("did", "tid").agg(F.array_sort(F.collect_list("span")).alias("all_spans"), F.array_sort(F.collect_list(F.when(F.col("later"), F.col("span")))).alias("later_spans"))
-    return work.select("did", "tid", "text").join(spans, ["did", "tid"]).select("did", "tid", "text", F.expr(_MERGED.format("all_spans")).alias("every"), F.expr(_MERGED.format("later_spans")).alias("later"))
-
-
-def whole_texts(documents: DataFrame, length: int) -> DataFrame:
-    """(did, tid, text, regions) of the texts that hold a string of ``length`` bytes, to be searched as a whole."""
-    return keys(documents).where(F.octet_length("text") >= length).select("did", "tid", "text", F.lit(None).cast(_SPAN).alias("regions"))
+    dealt = cut_contexts(detailed, look).repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
+    compared = compare_buckets(dealt, length, look).unionByName(compare_hot(detailed.where("exists(detail, d -> d.hot)"), length, look, scratch))
+    whole = work.select("did", "tid", F.octet_length("text").alias("size"), F.explode("equal").alias("g"))
+    whole = whole.select("did", "tid", "g.start", "g.count", "g.later", "g.every", "size")
+    # Near the end of a text, what reaches ``length`` may not reach ``reach``.
+    fits = F.least(F.col("count"), F.coalesce("size", F.col("start") + F.col("count") + look) - look - F.col("start") + 1)
+    span = lambda size, count: F.struct("start", (F.col("start") + count + size - 1).alias("end"))
+    spans = compared.withColumn("size", F.lit(None).cast("int")).unionByName(whole)
+    spans = spans.groupBy("did", "tid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("later"), span(length, F.col("count"))))).alias("later_spans"),
+        F.array_sort(F.collect_list(F.when(F.col("every") & (fits > 0) & F.lit(reach is not None), span(look, fits)))).alias("every_spans"),
+    )
+    merged = work.select("did", "tid", "text").join(spans, ["did", "tid"]).select("did", "tid", "text", *(F.expr(_MERGED.format(f"{n}_spans")).alias(n) for n in ("later", "every")))
+    return scratch.save(merged, drop=[work], free=True)
 
 
-def cut_contexts(work: DataFrame, length: int) -> DataFrame:
-    """The bytes of runs in buckets that are not hot."""
+def cut_contexts(work: DataFrame, look: int) -> DataFrame:
+    """Rows of CONTEXTS, with ``look`` bytes for each suffix as far as the text goes, of runs in buckets that are not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for did, tid, text, detail in zip(*(batch.column(c).to_pylist() for c in ("did", "tid", "text", "detail")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(d["bucket"], did, tid, d["start"], raw[d["start"] : d["start"] + d["count"] + length - 1]) for d in detail if not d["hot"]]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "did", "tid", "start", "bytes"])
+                out += [(d["bucket"], did, tid, d["start"], d["count"], raw[d["start"] : d["start"] + d["count"] + look - 1]) for d in detail if not d["hot"]]
+            yield _batch(out, CONTEXTS)
 
-    return work.mapInArrow(run, "bucket long, did long, tid long, start int, bytes binary")
+    return work.mapInArrow(run, CONTEXTS)
 
 
-def compare_hot(work: DataFrame, length: int, scratch: common.Scratch) -> DataFrame:
-    """Repeats within hot buckets, which are dealt on with anchors of ``length`` bytes.
+def compare_hot(work: DataFrame, length: int, look: int, scratch: common.Scratch) -> DataFrame:
+    """Repeats within hot buckets, which are dealt on with anchors of ``length`` and of ``look`` bytes.
 
     A bucket that holds a large share of all rows is too much for one task; equal
     strings of it meet in partial aggregates and a join that can be split. The
     smallest position of a string has no previous factor, all others reach it.
     """
+    schema = "bucket long, did long, tid long, start int, short long, long long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,13 +385,25 @@ def compare_hot(work: DataFrame, length: int, scratch: common.Scratch) -> DataFr
                 raw = text.encode("utf-8", "surrogatepass")
                 for d in detail:
                     if d["hot"]:
-                        h = string_hashes(raw[d["start"] : d["start"] + d["count"] + length - 1], length).view(np.int64)
-                        n = len(h)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d["bucket"], np.int64)), pa.array(h), pa.array(np.full(n, did, np.int64)), pa.array(np.full(n, tid, np.int64)), pa.array(np.arange(d["start"], d["start"] + n, dtype=np.int32))], ["bucket", "hash", "did", "tid", "start"])
-
-    rows = work.mapInArrow(run, "bucket long, hash long, did long, tid long, start int")
-    equal = scratch.save(rows.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first")).where("times > 1"))
-    return rows.join(equal, ["bucket", "hash"]).select("did", "tid", "start", F.lit(1).alias("count"), (F.struct("did", "tid", "start") != F.col("first")).alias("later"))
+                        n = d["count"]
+                        bytes_ = raw[d["start"] : d["start"] + n + look - 1]
+                        short = string_hashes(bytes_, n, length).view(np.int64)
+                        full = max(0, len(bytes_) - look + 1)
+                        long = pa.array(string_hashes(bytes_, full, look).view(np.int64) if full else np.zeros(0, np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(np.full(n, v, np.int64)) for v in (d["bucket"], did, tid)), pa.array(np.arange(d["start"], d["start"] + n, dtype=np.int32)), pa.array(short), pa.concat_arrays([long, pa.nulls(n - full, pa.int64())])],
+                            ["bucket", "did", "tid", "start", "short", "long"],
+                        )
+
+    rows = work.mapInArrow(run, schema)
+    first = rows.groupBy("bucket", "short").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first")).where("times > 1").drop("times")
+    again = rows.where("long is not null").groupBy("bucket", "long").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "long", F.lit(True).alias("every"))
+    found = rows.join(scratch.save(first), ["bucket", "short"])
+    if look > length:
+        found = found.join(scratch.save(again), ["bucket", "long"], "left")
+    else:
+        found = found.withColumn("every", F.lit(True))
+    return found.select("did", "tid", "start", F.lit(1).alias("count"), (F.struct("did", "tid", "start") != F.col("first")).alias("later"), F.coalesce("every", F.lit(False)).alias("every"))
 
 
 def _kept(raw: bytes, spans: list[dict]) -> bytes:
@@ -405,53 +436,40 @@ def digest(documents: DataFrame, scratch: common.Scratch | None = None, length:
     The digest is of what is left without any copy of strings of ``length`` bytes
     that repeat. ``text`` is the text without passages of ``passage`` bytes that
     an earlier document, or the text itself before, holds: the first copy stays.
-    A string of ``length`` bytes only repeats inside of passages that do, so it
-    is searched there alone. Null texts are empty; repeated rows are copies of each
-    other and lose all in the digest, and are one document for ``text``. Extra
-    columns are not read; an empty table gives an empty result.
+    Null texts are empty; repeated rows are copies of each other and lose all in
+    the digest, and are one document for ``text``. Extra columns are not read; an
+    empty table gives an empty result.
     """
-    if passage > length:
-        raise ValueError("passage must not exceed length")
     scratch = scratch or common.Scratch(documents.sparkSession)
-    rows = keys(documents)
-    passages = scratch.save(find_repeats(whole_texts(documents, passage), scratch, passage, passage * PASSAGE_ANCHOR // PASSAGE), free=True)
-    copied = rows.groupBy("did", "tid").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    regions = passages.select("did", "tid", "text", F.expr(f"filter(every, s -> s.end - s.start >= {length})").alias("regions")).where("size(regions) > 0")
-    # Of a row that is there more than once, two tell that it repeats.
-    regions = regions.join(copied, ["did", "tid"], "left").withColumn("copy", F.explode(F.expr("sequence(1, if(times is null, 1, 2))")))
-    every = find_repeats(regions, scratch, length).select("did", "tid", "every")
-    changed = passages.select("did", "tid", "text", "later").join(every, ["did", "tid"], "left")
+    found = find_repeats(documents, scratch, passage, passage * ANCHOR // PASSAGE, length)
+    schema = "did long, tid long, n_removed long, n_spans long, sha string, left_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for text, every, later in zip(*(batch.column(c).to_pylist() for c in ("text", "every", "later")), strict=True):
-                every = every or []
-                sha = hashlib.sha256(_kept(text.encode("utf-8", "surrogatepass"), every)).hexdigest()
-                got.append((sum(s["end"] - s["start"] for s in every), len(every), sha, _kept_text(text, later) if later else None))
-            cols = list(zip(*got, strict=True)) if got else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["did", "tid", "n_removed", "n_spans", "sha", "left_text"])
-
-    changed = scratch.save(changed.mapInArrow(run, "did long, tid long, n_removed long, n_spans long, sha string, left_text string"), drop=[passages], free=True)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), "text")
-    out = rows.join(changed, ["did", "tid"], "left")
+            for did, tid, text, later, every in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sha = hashlib.sha256(_kept(text.encode("utf-8", "surrogatepass"), every)).hexdigest() if every else None
+                got.append((did, tid, sum(s["end"] - s["start"] for s in every), len(every), sha, _kept_text(text, later) if later else None))
+            yield _batch(got, schema)
+
+    rows = keys(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), "text")
+    out = rows.join(found.mapInArrow(run, schema), ["did", "tid"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("left_text", "text").alias("text"))
 
 
-def remove_later_copies(documents: DataFrame, scratch: common.Scratch, length: int = PASSAGE, anchor: int = PASSAGE_ANCHOR) -> DataFrame:
+def remove_later_copies(documents: DataFrame, scratch: common.Scratch, length: int = PASSAGE, anchor: int = ANCHOR) -> DataFrame:
     """The documents, each text without strings of ``length`` bytes that an earlier one (by doc_id, then offset) holds.
 
     Characters of which a byte is removed go as a whole. Documents of which no
     word is left go. All columns stay; n_chars, where there is one, follows the text.
     """
-    found = find_repeats(whole_texts(documents, length), scratch, length, anchor).where("size(later) > 0").select("did", "tid", "text", "later")
+    found = find_repeats(documents, scratch, length, anchor).where("size(later) > 0").select("did", "tid", "text", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_kept_text(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True)]
-            got = [t if common.words_of(t) else "" for t in got]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tid"), pa.array(got, pa.string())], ["did", "tid", "left_text"])
+            got = [(did, tid, _kept_text(text, later)) for did, tid, text, later in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield _batch([(d, i, t if common.words_of(t) else "") for d, i, t in got], "did long, tid long, left_text string")
 
     changed = scratch.save(found.mapInArrow(run, "did long, tid long, left_text string"), free=True)
     rows = keys(documents.select(F.struct("*").alias("__row"), "doc_id", "text")).select("__row", "did", "tid")
