@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import bpe, common, mixing, ngram_join, quality_rules, suffix_dedup
 
-#: Repeated passages in the pipeline: fewer bytes than any 51 words take in the documents at hand (225), so none of more than fifty words stays.
-PASSAGE, PASSAGE_ANCHOR = 200, 90
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 _last: list[common.Scratch] = []
@@ -36,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_later_copies(docs, _scratch(spark), PASSAGE, PASSAGE_ANCHOR)
+    return suffix_dedup.remove_later_copies(docs, _scratch(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
