@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import store
 
 PRIME = 2147483647
+#: Words whose hashes a task computes at once, and members of a bucket that meet in one place.
+WORDS_AT_ONCE, BLOCK = 20_000, 4096
 
 
 def coefficients(number: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -28,23 +36,48 @@ def vocabulary(products: DataFrame) -> DataFrame:
 def term_presence(products: DataFrame, containment: str = "substring") -> DataFrame:
     """(pid, word): the words of the vocabulary that a product has.
 
-    ``substring`` looks for each word inside the joined model words, which is a
-    join of all words with all products; ``token`` takes the product's own words
-    and needs no join.
+    ``substring`` looks for each word inside the joined model words, ``token``
+    takes the product's own words. No word holds a blank, so one lies inside the
+    joined words if it lies inside one of them; the parts of each distinct word
+    meet the vocabulary in an equi-join.
     """
+    own = products.select("pid", F.explode("words").alias("word"))
     if containment == "token":
-        return products.select("pid", F.explode("words").alias("word"))
-    words, rows = vocabulary(products), products.select("pid", "model_words")
-    return rows.join(words, F.contains("model_words", F.col("word"))).select("pid", "word")
+        return own
+    words = vocabulary(products)
+    cut = "flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, length(word) - i + 1), n -> substring(word, i, n))))"
+    inside = words.where("word <> ''").select(F.col("word").alias("whole"), F.explode(F.array_distinct(F.expr(cut))).alias("word")).join(words, "word")
+    return own.withColumnRenamed("word", "whole").join(inside, "whole").select("pid", "word").distinct()
 
 
 def signatures(products: DataFrame, number: int, seed: int = 42) -> DataFrame:
-    """pid and ``signature``, an array of minima; 0 throughout for a product without words. No shuffle."""
-    ids = F.transform("words", word_id)
-    family = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in coefficients(number, seed)))
-    minima = F.transform(family, lambda f: F.coalesce(F.array_min(F.transform(F.col("ids"), lambda x: (f["a"] * x + f["c"]) % PRIME)), F.lit(0).cast("long")))
-    # The generator keeps the ids from being computed anew for every hash function.
-    return products.select("pid", F.explode(F.array(ids)).alias("ids")).select("pid", minima.alias("signature"))
+    """pid and ``signature``, an array of minima; 0 throughout for a product without words. No shuffle.
+
+    The minima of a batch of products are a numpy product of its words with the hash family.
+    """
+    ids = products.select("pid", F.transform("words", word_id).alias("ids"))
+    a, c = (np.array(x, np.int64)[:, None] for x in zip(*coefficients(number, seed), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("ids")
+            at, every = np.array(column.offsets, np.int64), column.values.to_numpy(zero_copy_only=False)
+            out = np.zeros((len(at) - 1, number), np.int64)
+            k = 0
+            while k < len(out):  # as many products as have about WORDS_AT_ONCE words
+                end = max(k + 1, int(np.searchsorted(at, at[k] + WORDS_AT_ONCE, side="right")) - 1)
+                some = np.flatnonzero(at[k + 1 : end + 1] > at[k:end])
+                if len(some):
+                    x = a * every[at[k] : at[end]] + c  # below 2^57; 2^31 leaves 1, so halves add up
+                    x = (x & PRIME) + (x >> 31)
+                    x[x >= PRIME] -= PRIME
+                    out[k + some] = np.minimum.reduceat(x, at[k:end][some] - at[k], axis=1).T
+                k = end
+            signature = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * number), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("pid"), signature], ["pid", "signature"])
+
+    schema = T.StructType([ids.schema["pid"], T.StructField("signature", T.ArrayType(T.LongType()))])
+    return ids.mapInArrow(run, schema)
 
 
 def bands(signed: DataFrame, number: int, rows: int, empty: str = "bucket") -> DataFrame:
@@ -53,22 +86,29 @@ def bands(signed: DataFrame, number: int, rows: int, empty: str = "bucket") -> D
         signed = signed.where(F.array_max("signature") > 0)
     parts = F.transform(
         F.sequence(F.lit(0), F.lit(number - 1)),
-        lambda b: F.struct(b.alias("band"), F.sha2(F.array_join(F.slice("signature", b * rows + 1, F.when(b == number - 1, F.size("signature")).otherwise(F.lit(rows))), ","), 256).alias("bucket")),
+        lambda b: F.struct(b.alias("band"), F.unhex(F.md5(F.array_join(F.slice("signature", b * rows + 1, F.when(b == number - 1, F.size("signature")).otherwise(F.lit(rows))), ","))).alias("bucket")),
     )
     return signed.select("pid", F.explode(parts).alias("b")).select("pid", "b.band", "b.bucket")
 
 
 def candidates(banded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct pairs (i, j), i < j, that share a bucket. Buckets of one product are dropped before the join."""
+    """Distinct pairs (i, j), i < j, that share a bucket; ``banded`` is read several times.
+
+    Buckets of one product are dropped before the join. Those of more than BLOCK
+    are dealt to slots, and each pair of slots meets by itself, so no task gets
+    all pairs of a hot bucket.
+    """
     keys = [*by, "band", "bucket"]
-    shared = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    rows = banded.join(shared, keys, "left_semi")
-    a, b = rows.withColumnRenamed("pid", "i"), rows.withColumnRenamed("pid", "j")
-    return a.join(b, keys).where("i < j").select(*by, "i", "j").distinct()
+    shared = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = banded.join(shared, keys).withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("pid"), "slots").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    rows = rows.select(*keys, "pid", "slot", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"))
+    a, b = rows.select(*keys, "x", "y", F.col("pid").alias("i"), F.col("slot").alias("slot_i")), rows.select(*keys, "x", "y", F.col("pid").alias("j"), F.col("slot").alias("slot_j"))
+    return a.join(b, [*keys, "x", "y"]).where("i < j and (x = y or slot_i <> slot_j)").select(*by, "i", "j").distinct()
 
 
 def candidate_pairs(products: DataFrame, number: int, rows: int, seed: int = 42, empty: str = "bucket") -> DataFrame:
-    return candidates(bands(signatures(products, number * rows, seed), number, rows, empty))
+    return candidates(store.written(bands(signatures(products, number * rows, seed), number, rows, empty)))
 
 
 def true_pairs(products: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -31,10 +31,22 @@ def block(pairs: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def key_similarities(products: DataFrame, gamma: float) -> DataFrame:
-    """(key_i, key_j, key_sim) of similar attribute names; computed once over distinct names, not for every pair."""
+    """(key_i, key_j, key_sim) of similar attribute names; computed once over distinct names, not for every pair.
+
+    Names that share a 3-gram meet in an equi-join. Without one, the similarity is
+    the share of what a name has more characters than 3-grams (2, or all of a short
+    name) in all characters; it exceeds gamma only if the excess of one name over
+    gamma times its length makes up for the lack of the other.
+    """
     keys = products.select(F.explode(F.map_keys("features")).alias("key")).distinct()
-    a, b = keys.withColumnRenamed("key", "key_i"), keys.withColumnRenamed("key", "key_j")
-    both = a.join(b, F.abs(F.length("key_i") - F.length("key_j")) <= F.greatest(F.length("key_i"), F.length("key_j")))
+    gram = keys.select("key", F.explode(F.array_distinct(S.grams(F.col("key")))).alias("gram"))
+    met = gram.withColumnRenamed("key", "key_i").join(gram.withColumnRenamed("key", "key_j"), "gram").select("key_i", "key_j")
+    lack = keys.select("key", (gamma * F.length("key") - (F.length("key") - F.size(S.grams(F.col("key"))))).alias("lack")).withColumn("step", F.floor("lack").cast("long"))
+    least = lack.agg(F.min("step").alias("least"))
+    over = lack.where("lack < 0").join(F.broadcast(least)).select("key", "lack", F.explode(F.sequence(F.col("least"), F.floor(-F.col("lack")).cast("long"))).alias("step"))  # one row
+    odd = over.select(F.col("key").alias("key_i"), F.col("lack").alias("lack_i"), "step").join(lack.withColumnRenamed("key", "key_j"), "step").where("lack_i + lack < 1e-9")
+    odd = odd.select(F.explode(F.array(F.struct("key_i", "key_j"), F.struct(F.col("key_j").alias("key_i"), F.col("key_i").alias("key_j")))).alias("p")).select("p.*")
+    both = met.unionByName(odd).distinct()
     return both.withColumn("key_sim", S.qgram_similarity(F.col("key_i"), F.col("key_j"))).where(F.col("key_sim") > gamma)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import similarity as S
 from sievework.functions import text as T
-from sievework.operators import cluster, evaluate, features, lookup, lsh, msm, sampling, words
+from sievework.operators import cluster, evaluate, features, lookup, lsh, msm, sampling, store, words
 from sievework.sources import products
 
 from . import oracle as O  # noqa: E741
@@ -46,14 +46,14 @@ def _cleaned(spark, sf_dir) -> DataFrame:
 
 def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Cleaned products, written once since every stage reads them, and their pairs with one label."""
-    clean = cluster._written(_cleaned(spark, sf_dir))
+    clean = store.written(_cleaned(spark, sf_dir))
     return clean, lsh.true_pairs(clean)
 
 
 def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Cleaned products and their candidate pairs by LSH, of equal and of different models."""
-    clean = cluster._written(_cleaned(spark, sf_dir))
-    return clean, cluster._written(lsh.candidate_pairs(clean, BANDS, ROWS))
+    clean = store.written(_cleaned(spark, sf_dir))
+    return clean, store.written(lsh.candidate_pairs(clean, BANDS, ROWS))
 
 
 def _round(c, name: str):
@@ -171,7 +171,7 @@ def q_vocabulary(spark, sf_dir):
 
 @query(f"WITH {O.CLEAN}, vocab AS (SELECT DISTINCT unnest(words) AS word FROM worded) SELECT pid, word FROM (SELECT pid, array_to_string(words, ' ') AS s FROM worded) JOIN vocab ON contains(s, word)")
 def q_term_presence(spark, sf_dir):
-    return lsh.term_presence(cluster._written(_cleaned(spark, sf_dir).select("pid", "words", "model_words")))
+    return lsh.term_presence(store.written(_cleaned(spark, sf_dir).select("pid", "words", "model_words")))
 
 
 @query(f"WITH {O.DOCS} SELECT pid, unnest(words) AS word FROM docs")
@@ -280,7 +280,7 @@ def q_lsh_average(spark, sf_dir):
 
 
 def _full_eval(products: DataFrame) -> DataFrame:
-    return evaluate.evaluate_lsh(cluster._written(sampling.bootstrap(products, RATIO, FULL_SAMPLES)), evaluate.GRID)
+    return evaluate.evaluate_lsh(store.written(sampling.bootstrap(products, RATIO, FULL_SAMPLES)), evaluate.GRID)
 
 
 @query()
@@ -407,7 +407,7 @@ def q_lsh_msm_edges_truncated(spark, sf_dir):
 
 def _edges(spark, sf_dir, source=_candidates):
     clean, pairs = source(spark, sf_dir)
-    return cluster._written(msm.edges(pairs, clean)), pairs, clean
+    return store.written(msm.edges(pairs, clean)), pairs, clean
 
 
 @query(_EDGE.replace("WITH ", "WITH RECURSIVE ", 1) + """, close AS (SELECT i, j FROM edge WHERE dist < 0.9 UNION SELECT j, i FROM edge WHERE dist < 0.9),
@@ -433,7 +433,7 @@ def q_clusters(spark, sf_dir):
 @query("SELECT 0::BIGINT AS n")
 def q_cluster_violations(spark, sf_dir):
     found, _, _ = _edges(spark, sf_dir)
-    return cluster.violations(cluster._written(cluster.clusters(found, evaluate.THRESHOLDS)), found).agg(F.count(F.lit(1)).alias("n"))
+    return cluster.violations(store.written(cluster.clusters(found, evaluate.THRESHOLDS)), found).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -449,7 +449,7 @@ def q_tuning_best(spark, sf_dir):
 
 @query()
 def q_msm_eval(spark, sf_dir):
-    return _msm_average(cluster._written(_cleaned(spark, sf_dir)))
+    return _msm_average(store.written(_cleaned(spark, sf_dir)))
 
 
 def _msm_average(clean):
@@ -485,14 +485,14 @@ def q_flatten(spark, sf_dir):
        " u AS (SELECT 'pc' AS metric, x, pc AS y FROM a UNION ALL SELECT 'pq', x, pq FROM a UNION ALL SELECT 'f1_star', x, f1_star FROM a)"
        " SELECT s AS series, metric, round(x, 6) AS x, round(y, 6) AS y FROM u, (SELECT unnest(['improved', 'baseline']) AS s) UNION ALL SELECT 'improved', 'f1', round(x, 6), round(f1_star, 6) FROM a")
 def q_plot_series(spark, sf_dir):
-    got = cluster._written(evaluate.average(evaluate.evaluate_lsh(_sample(spark, sf_dir), GRID)))
+    got = store.written(evaluate.average(evaluate.evaluate_lsh(_sample(spark, sf_dir), GRID)))
     return evaluate.plot_series(got, got, got).select("series", "metric", _round("x", "x"), _round("y", "y"))
 
 
 @query()
 def q_plot_series_full(spark, sf_dir):
     """The series of the figures: improved and baseline cleaning of the offers, and F1 after clustering."""
-    clean = cluster._written(_cleaned(spark, sf_dir))
-    baseline = cluster._written(words.clean_products_baseline(products.offers(spark, sf_dir)))
-    new, old = (cluster._written(evaluate.average(_full_eval(p.select("pid", "model_id", "words")))) for p in (clean, baseline))
+    clean = store.written(_cleaned(spark, sf_dir))
+    baseline = store.written(words.clean_products_baseline(products.offers(spark, sf_dir)))
+    new, old = (store.written(evaluate.average(_full_eval(p.select("pid", "model_id", "words")))) for p in (clean, baseline))
     return evaluate.plot_series(new, old, _msm_average(clean)).select("series", "metric", _round("x", "x"), _round("y", "y"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.operators import store
+
 RECORD = T.StructType(
     [
         T.StructField("modelID", T.StringType()), T.StructField("shop", T.StringType()), T.StructField("title", T.StringType()),
@@ -15,17 +17,21 @@ RECORD = T.StructType(
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Products of a JSON object {key: [product, ...], ...}; the keys are dropped, pid follows the content.
+    """Products of JSON objects {key: [product, ...], ...}, one a file; the keys are dropped, pid follows the content.
 
-    pid is dense from 0 in order of (modelID, shop, title, url).
+    pid is dense from 0 in order of (modelID, shop, title, url). Rows are counted
+    within ranges of that order, and the ranges by their sizes, one row each.
     """
     raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(RECORD))).alias("m"))
-    rows = flatten(parsed, "m")
-    from pyspark.sql import Window
-
-    order = Window.orderBy("modelID", "shop", "title", "url")
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("pid"), F.col("modelID").alias("model_id"), "shop", "title", "url", F.col("featuresMap").alias("features"))
+    order = ["modelID", "shop", "title", "url"]
+    ranged = flatten(parsed, "m").repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()  # the partition above 33 bits of the row in it
+    placed = store.written(ranged.select("*", F.shiftright(number, 33).alias("range"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    rows = placed.join(F.broadcast(before), "range")  # one row a partition
+    return rows.select((F.col("before") + F.col("place")).alias("pid"), F.col("modelID").alias("model_id"), "shop", "title", "url", F.col("featuresMap").alias("features"))
 
 
 def flatten(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import cluster, evaluate, lookup, lsh, msm, sampling
+from sievework.operators import cluster, evaluate, lookup, lsh, msm, sampling, store
 from sievework.sources import products
 
 ROWS = "pid long, shop string, brand string, model_id string, title string, words array<string>, features map<string,string>"
@@ -72,7 +72,7 @@ def test_clusters_are_cliques_and_partition(spark):
     rng = random.Random(1)
     rows = [(i, j, rng.random() * 1.2) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.6]
     edges = spark.createDataFrame(rows, "i long, j long, dist double")
-    got = cluster._written(cluster.clusters(edges, (0.3, 0.9)))
+    got = store.written(cluster.clusters(edges, (0.3, 0.9)))
     assert cluster.violations(got, edges).count() == 0
     assert got.groupBy("eps", "pid").count().where("count > 1").count() == 0
     with pytest.raises(ValueError):
