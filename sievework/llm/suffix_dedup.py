@@ -318,12 +318,14 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = PA
     look = reach or length
     docs = keys(documents).where(F.octet_length("text") >= length).select("did", "tid", "text")
     found = text_runs(docs, length, anchor, look)
+    # Buckets of one run need nothing; that is most of them.
+    often = scratch.save(found.where("not own").groupBy("bucket").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("bucket", F.lit(True).alias("often")), free=True)
+    found = scratch.save(found.join(often, "bucket", "left").where("own or often").drop("often"), drop=[often], free=True)
     shared = found.where("not own").groupBy("bucket", "short", "long").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first"))
     shared = scratch.save(shared, free=True)
     in_short = shared.groupBy("bucket", "short").agg(F.min("first").alias("short_first"), F.sum("times").alias("short_times"))
     mixed = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts"))
-    # Runs that occur once alone in their bucket need nothing; that is most of them.
-    shared_rows = shared.join(mixed.where("contexts > 1"), "bucket", "left").where("contexts is not null or times > 1").join(in_short, ["bucket", "short"])
+    shared_rows = shared.join(mixed.where("contexts > 1"), "bucket", "left").join(in_short, ["bucket", "short"])
     shared_rows = shared_rows.select("bucket", "short", "long", "times", "first", "short_first", "short_times", F.coalesce("contexts", F.lit(1)).alias("contexts"))
     shared_rows = scratch.save(shared_rows, drop=[shared], free=True)
     hits = found.join(shared_rows, ["bucket", "short", "long"], "left").where("own or times is not null")
@@ -338,7 +340,7 @@ def find_repeats(documents: DataFrame, scratch: common.Scratch, length: int = PA
         F.collect_set(F.when(F.col("later") | F.col("every"), F.struct("start", "count", "later", "every"))).alias("equal"),
         F.collect_set(F.when(F.col("detail"), F.struct("bucket", "start", "count", "hot"))).alias("detail"),
     )
-    work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows], free=True)
+    work = scratch.save(docs.join(flagged, ["did", "tid"]).dropDuplicates(["did", "tid"]), drop=[shared_rows, found], free=True)
     detailed = work.where("size(detail) > 0").select("did", "tid", "text", "detail")
     dealt = cut_contexts(detailed, look).repartition("bucket").sortWithinPartitions("bucket", "did", "tid", "start")
     compared = compare_buckets(dealt, length, look).unionByName(compare_hot(detailed.where("exists(detail, d -> d.hot)"), length, look, scratch))
