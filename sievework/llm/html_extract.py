@@ -3,10 +3,11 @@
 A page's text nodes are grouped by their tag path from the root to the leaf.
 For each path the mean text length and the mean number of punctuation marks of
 its nodes are taken, smoothed over the nodes in page order and fused; nodes above
-the standard deviation of the page are content. The element that holds most of
-the content (an article where there is one) is the main element, and its blocks
-are the main text, short ones included. Elements that say that they are menus,
-adverts, forms or the like never count.
+the standard deviation of the page are content. The lowest element that holds most
+of the content is the main element, and its blocks are the main text, short ones
+included; content outside of it stays where its paths are those of the main
+element's. An article or main element that holds half of the content goes before a
+lower one. Elements that say that they are menus, adverts, forms or the like never count.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ MARKS = re.compile(
     r"share|sharing|social|follow|comment|comments|commentlist|reply|replies|respond|disqus|discussion|search|searchform|form|skip|hidden|contentinfo|complementary|dialog|tags|tagcloud)(?:$|[\s_-])",
     re.I,
 )
+#: Block elements that are text themselves, not containers of it.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre".split())
+#: Share of the content that the main element holds.
+MOST = 0.7
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
@@ -195,46 +200,53 @@ def path_scores(blocks) -> np.ndarray:
 
 
 def main_blocks(page: str) -> list[str]:
-    """The blocks of the main text, in page order."""
+    """The blocks of the main text, in page order.
+
+    Content nodes are those whose path score passes the threshold. The main
+    element is the lowest that holds most of their text; where that is part of an
+    article or main element, or such an element holds half of their text, it is that one.
+    Content nodes outside of it stay if their paths are among those within, as in an
+    article that is spread over siblings, or score as high as the mean of these.
+    """
     blocks = [b for b in blocks_of(page) if not all(e.out for e, t in b[1] if not t.isspace())]
     blocks = [(owner, [(e, t) for e, t in texts if not e.out]) for owner, texts in blocks]
     if not blocks:
         return []
     score = path_scores(blocks)
     content = score >= min(score.std(), score.max())
+    weight = np.array([sum(len("".join(t.split())) for _, t in texts) for _, texts in blocks]) * score * content
     inside: dict[int, tuple[Element, float]] = {}
-    total = 0.0
-    for (owner, _), s, good in zip(blocks, score, content, strict=True):
-        if good:
-            total += s
-            e = owner
-            while e:
-                inside[id(e)] = (e, inside.get(id(e), (e, 0.0))[1] + s)
-                e = e.parent
+    for (owner, _), w in zip(blocks, weight, strict=True):
+        e = owner
+        while w and e:
+            inside[id(e)] = (e, inside.get(id(e), (e, 0.0))[1] + w)
+            e = e.parent
+    total = float(weight.sum())
+    main = max(((e.depth, w, k) for k, (e, w) in inside.items() if w >= MOST * total))
+    main = inside[main[2]][0]
+    # The outermost of those that hold the most: parts of an article may be articles themselves.
     articles = [(w, -e.depth, k) for k, (e, w) in inside.items() if e.tag in ("article", "main")]
-    if articles:
-        # The outermost of those that hold the most: parts of an article may be articles themselves.
+    if articles and max(articles)[0] >= total / 2:
         main = inside[max(articles)[2]][0]
-        content[:] = False
-    else:
-        # An article may be spread over siblings: content outside of the element that holds most of it stays too.
-        main = max(((e.depth, w, k) for k, (e, w) in inside.items() if w >= 0.8 * total))
-        main = inside[main[2]][0]
-        while main.tag not in BLOCK or main.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"):
-            if not main.parent:
-                break
-            main = main.parent
+    while main.parent and (main.tag not in BLOCK or main.tag in TEXT):
+        main = main.parent
+    within = np.array([_under(owner, main) for owner, _ in blocks])
+    paths = {owner.path for (owner, _), w, good in zip(blocks, within, content, strict=True) if w and good}
+    mean = float(np.average(score[within & content], weights=weight[within & content])) if weight[within].any() else 0.0
     out = []
-    for (owner, texts), good in zip(blocks, content, strict=True):
-        e = owner
-        while e and e is not main:
-            e = e.parent
+    for (owner, texts), w, good, s in zip(blocks, within, content, score, strict=True):
         text = " ".join("".join(t for _, t in texts).split())
-        if (e or good) and text:
+        if text and (w or good and (owner.path in paths or s >= mean)):
             out.append(text)
     return out
 
 
+def _under(e: Element | None, top: Element) -> bool:
+    while e and e is not top:
+        e = e.parent
+    return e is top
+
+
 def main_text(page: str | None) -> str:
     return "\n".join(main_blocks(page)) if page else ""
 

@@ -2,8 +2,11 @@
 
 import gzip
 import math
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,29 @@ def test_warc_records(spark, tmp_path):
     assert warc.derive(sources.limit(0)).count() == 0
 
 
+def bare(page):
+    """The page without any element or attribute that tells what it is for."""
+    page = re.sub(r"<(/?)(article|main|nav|footer|header|aside|section)\b", r"<\1div", page)
+    return re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_ratios_alone_find_the_main_text(monkeypatch):
+    """On bare pages the scores are all there is: they find what the telling elements held, and constant scores don't."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    want = [Counter(html_extract.main_text(p).split()) for p in pages]
+
+    def measured():
+        got = [Counter(html_extract.main_text(bare(p)).split()) for p in pages]
+        same = sum(sum((a & b).values()) for a, b in zip(want, got, strict=True))
+        return same / sum(b.total() for b in got), same / sum(a.total() for a in want), sum(a == b for a, b in zip(want, got, strict=True)) / len(pages)
+
+    precision, recall, exact = measured()
+    assert precision > 0.99 and recall > 0.99 and exact > 0.9
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: np.ones(len(blocks)))
+    precision, recall, exact = measured()
+    assert precision < 0.95 and exact == 0
+
+
 def vectors(rng):
     rows = []
     for _ in range(6):
