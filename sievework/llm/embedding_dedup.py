@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -67,18 +67,13 @@ def _planes(dims: int, number: int) -> np.ndarray:
 
 
 def prepare(embeddings: DataFrame) -> DataFrame:
-    """vec_id, key (equal for equal vectors) and unit vector as bytes; vectors that can't link are left out."""
+    """vec_id, key (equal for equal vectors) and unit vector as bytes of every row; both are null where the row can't link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raw, keys = [], [], []
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                u = unit(v)
-                if i is not None and u is not None:
-                    ids.append(i)
-                    raw.append(u.tobytes())
-                    keys.append(xxhash.xxh3_128_digest((np.array(v, np.float64) + 0.0).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "key", "unit"])
+            units = [None if i is None else unit(v) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True)]
+            keys = [None if u is None else xxhash.xxh3_128_digest((np.array(v, np.float64) + 0.0).tobytes()) for u, v in zip(units, batch.column("embedding").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary())], ["vec_id", "key", "unit"])
 
     return embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, key binary, unit binary")
 
@@ -281,15 +276,20 @@ def dedup(embeddings: DataFrame, scratch: common.Scratch | None = None, threshol
 
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do rows without vec_id, whose component is null. Vectors of
-    different lengths don't link. Equal vectors link. Extra columns are not read;
-    an empty table gives an empty result.
+    different lengths don't link. Equal vectors link. Rows that share a vec_id but
+    not their vector are vectors of their own, each with its own links. Extra
+    columns are not read; an empty table gives an empty result.
     """
     spark = common.session(embeddings)
     scratch = scratch or common.Scratch(spark)
     prepared = scratch.save(prepare(embeddings))
-    same = scratch.save(prepared.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")))
-    nodes = prepared.join(same, (prepared["key"] == same["key"]) & (prepared["vec_id"] == same["rep"]), "left_semi").dropDuplicates(["vec_id"])
-    nodes = scratch.save(nodes.select(F.col("vec_id").alias("rep"), "key", "unit"))
+    used = prepared.where("key is not null")
+    # Equal vectors are one node, named by the smallest vec_id; where a vec_id has several vectors, a hash names the others.
+    same = used.groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("least").orderBy("key"))
+    same = scratch.save(same.select("key", "least", "times", F.when(place == 1, F.col("least")).otherwise(F.xxhash64("key")).alias("rep")))
+    nodes = used.join(same.select("key", F.col("least").alias("vec_id"), "rep"), ["key", "vec_id"]).dropDuplicates(["key"])
+    nodes = scratch.save(nodes.select("rep", "key", "unit"))
     links = find_links(nodes, scratch, threshold, window)
     found = scratch.save(common.components(links, scratch).toDF("rep", "component"))
     members = found.unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
@@ -297,9 +297,10 @@ def dedup(embeddings: DataFrame, scratch: common.Scratch | None = None, threshol
     sized = sized.join(nodes, "rep").join(same.select("key", "times"), "key")
     counted = _dealt(sized).mapInArrow(_counted(threshold), "rep long, links long")
     n_links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_key = same.join(n_links, "rep", "left").join(members.dropDuplicates(["rep"]), "rep", "left")
-    per_key = per_key.select("key", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    per_vector = prepared.select("vec_id", "key").dropDuplicates(["vec_id"]).join(per_key, "key").select("vec_id", "links", "component")
-    out = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).join(per_vector, "vec_id", "left")
+    named = members.join(same.select("rep", "least"), "rep")
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("smallest")), "component").select("rep", "smallest")
+    per_key = same.join(n_links, "rep", "left").join(named, "rep", "left")
+    per_key = per_key.select("key", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("smallest", "least").alias("component"))
+    out = prepared.select("vec_id", "key").join(per_key, "key", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -113,7 +113,7 @@ def heavy_groups(documents: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-PREPARED = "doc_id long, n long, key binary, tokens array<long>"
+PREPARED = "doc_id long, tid long, n long, key binary, tokens array<long>"
 NODES = "rep long, n long, tokens array<long>, point binary"
 
 
@@ -124,14 +124,15 @@ def prepare(documents: DataFrame, heavy: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("tid"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([prefix(s, heavy).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "key", "tokens"],
+                ["doc_id", "tid", "n", "key", "tokens"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREPARED)
+    return documents.select("doc_id", "tid", "text").mapInArrow(run, PREPARED)
 
 
 def nodes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -142,7 +143,7 @@ def nodes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column("rep"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([prefix(s, heavy).view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([point(s).tobytes() for s in sets], pa.binary()),
@@ -284,27 +285,44 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFra
 
     Rows without words (null or empty texts) have no shingles and are their own
     component, as is a row with a null doc_id, whose component is null. Equal
-    texts, also of repeated rows, are linked. An empty table gives an empty
-    result; extra columns are not read.
+    texts, also of repeated rows, are linked. Rows that share a doc_id but not
+    their text are documents of their own, each with its own links. An empty table
+    gives an empty result; extra columns are not read.
+    """
+    return classes(documents, scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and tid, which tells texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
+
+
+def classes(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
+    """doc_id, tid, n, component_id and class of every row; rows of one class are linked, and component_id is its smallest doc_id.
+
+    ``class`` is null for rows without words or doc_id.
     """
     spark = common.session(documents)
     scratch = scratch or common.Scratch(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _keyed(documents)
     heavy = heavy_groups(docs)
     prepared = scratch.save(prepare(docs, heavy))
     used = prepared.where("n > 0 and doc_id is not null")
-    # Equal sets are one node, named by its smallest document.
-    same = scratch.save(used.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = used.join(same, (used["key"] == same["key"]) & (used["doc_id"] == same["rep"]), "left_semi")
-    tokens = scratch.save(reps.dropDuplicates(["key"]).select(F.col("doc_id").alias("rep"), "n", F.explode("tokens").alias("tile")), free=True)
+    # Equal sets are one node, named by its smallest document; where a doc_id has several sets, a hash names the others.
+    same = used.groupBy("key").agg(F.min(F.struct("doc_id", "tid")).alias("first")).select("key", F.col("first.doc_id").alias("least"), F.col("first.tid").alias("tid"))
+    place = F.row_number().over(Window.partitionBy("least").orderBy("key"))
+    same = scratch.save(same.select("key", "least", "tid", F.when(place == 1, F.col("least")).otherwise(F.xxhash64("key")).alias("rep")))
+    reps = used.join(same.select("key", F.col("least").alias("doc_id"), "tid", "rep"), ["key", "doc_id", "tid"])
+    tokens = scratch.save(reps.dropDuplicates(["key"]).select("rep", "n", F.explode("tokens").alias("tile")), free=True)
     shared = tokens.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     tiled = scratch.save(tokens.join(shared, "tile").select("tile", "rep", "n", "members"), drop=[tokens], free=True)
     # Members of large tiles have kept most of what their group has in common, so they make good pivots.
     weight = tiled.groupBy("rep").agg(F.sum("members").alias("weight"))
     tiled = scratch.save(tiled.join(weight, "rep"), drop=[tiled], free=True)
     # Texts are read again only for nodes that share a tile.
-    texts = docs.join(tiled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = scratch.save(texts.dropDuplicates(["doc_id"]), free=True)
+    sharing = same.join(tiled.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), "tid")
+    texts = scratch.save(docs.join(sharing, ["doc_id", "tid"]).select("rep", "text").dropDuplicates(["rep"]), free=True)
     reps = scratch.save(nodes(texts, heavy))
 
     tested = None
@@ -333,9 +351,12 @@ def join(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFra
     more = _check(pairs, reps, texts, scratch)
     final = common.components(comps.toDF("a", "b").unionByName(more), scratch)
 
-    comp = same.join(final.toDF("rep", "found"), "rep", "left").select("key", F.coalesce("found", "rep").alias("comp"))
-    out = prepared.select("doc_id", "n", "key").join(comp, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id")).alias("component_id"))
+    comp = same.join(final.toDF("rep", "found"), "rep", "left").select("key", "least", F.coalesce("found", "rep").alias("class"))
+    comp = scratch.save(comp)
+    comp = comp.join(comp.groupBy("class").agg(F.min("least").alias("smallest")), "class").select("key", "class", "smallest")
+    out = prepared.select("doc_id", "tid", "n", "key").join(comp, "key", "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "tid", "n", F.when(linked, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("class")).alias("class"))
 
 
 def _labelled(tiled: DataFrame, comps: DataFrame) -> DataFrame:
@@ -350,13 +371,17 @@ def _mixed(rows: DataFrame, value) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """The documents without near-duplicates, with all their columns: of each component the smallest doc_id stays, once.
+    """The documents without near-duplicates, with all their columns: of each class the smallest doc_id stays, once.
 
-    Rows with a null doc_id stay.
+    Rows without words or doc_id stay, once for each doc_id and text where there is a doc_id.
+    Where a doc_id has several texts in a class, the one of the smallest hash stays.
     """
-    kept = join(documents, scratch).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = scratch.save(classes(documents, scratch).where("doc_id is not null").select("doc_id", "tid", "class"))
+    kept = found.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "tid")).alias("k")).select("k.*")
+    kept = kept.unionByName(found.where("class is null").select("doc_id", "tid").distinct()).select(F.col("doc_id").alias("__kept"), F.col("tid").alias("__tid"))
     named = documents.where("doc_id is not null")
-    one = named.join(kept, named["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    mine = named.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__kept"), F.xxhash64(F.col("text").cast("string")).alias("__tid"))
+    one = mine.join(kept, ["__kept", "__tid"], "left_semi").dropDuplicates(["__kept", "__tid"]).select("__row.*")
     return one.unionByName(documents.where("doc_id is null"))
 
 

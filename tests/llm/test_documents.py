@@ -101,6 +101,17 @@ def test_prefix_covers_every_link():
     assert len(ngram_join.prefix(h[:3], none)) == 1
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """Texts of one doc_id are documents of their own; the smallest doc_id names whatever links to one of them."""
+    rng = random.Random(9)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, a + " w", "en", "s"), (3, b + " w", "en", "s"), (4, b + " w v", "en", "s"), (5, "x", "en", "s"), (5, "", "en", "s")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(table(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5)]
+    kept = ngram_join.keep_one(table(spark, rows + rows[:1]), common.Scratch(spark))
+    assert kept.columns == SCHEMA_NAMES and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (5, "x"), (5, "")])
+
+
 def test_rtree_bound_loses_no_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64)) for _ in range(70)]

@@ -128,7 +128,16 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_passes_grow_with_the_logarithm():
+def test_embeddings_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((2, 16))
+    near = lambda v: (v + 0.01 * rng.standard_normal(16)).tolist()
+    rows = [(1, x.tolist()), (1, y.tolist()), (2, near(x)), (3, near(y)), (4, None), (4, x.tolist())]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 2, 1, False)]
+
+
+def test_passes_grow_slower_than_the_vectors():
     assert embedding_dedup.passes_for(0) == embedding_dedup.PASSES_LEAST
     assert embedding_dedup.passes_for(50_000) < embedding_dedup.passes_for(15_000_000) < 60
 
