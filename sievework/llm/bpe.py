@@ -5,6 +5,10 @@ recursive query: rows (piece, position, token) join the merge table, and every
 step contracts the leftmost pair of the lowest rank of each piece, until no
 piece has a pair left. An ordered aggregate turns ids back into bytes.
 
+The recursive query looks at all tokens of a piece in every step, which is quadratic
+in its length. Pieces of more than LONG bytes (no blank in so many characters) are
+contracted in the same order with a heap of their pairs instead.
+
 The rank file is read where the plan is made and shipped with the task; its size
 does not depend on the data.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -27,6 +32,8 @@ from . import common
 
 #: Distinct pieces and chunks whose ids a task keeps for later batches; beyond it the memory is emptied.
 KEEP = 500_000
+#: Bytes of a piece up to which the recursive query encodes it.
+LONG = 256
 #: Tokens that one decoding query takes.
 DECODE_TOKENS = 1 << 20
 
@@ -80,14 +87,38 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "merged": pa.array(merged, pa.int64())})
 
 
+def contract(tokens: list[int], merges: dict[int, int]) -> list[int]:
+    """The tokens with the leftmost pair of the lowest rank contracted until none is left, in n log n steps."""
+    n = len(tokens)
+    at, left, right = list(tokens), list(range(-1, n - 1)), list(range(1, n + 1))
+    pair = lambda i: merges.get(at[i] << 20 | at[right[i]]) if i >= 0 and right[i] < n else None
+    heap = [(m, i) for i in range(n - 1) if (m := pair(i)) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        m, i = heapq.heappop(heap)
+        if gone[i] or pair(i) != m:
+            continue
+        j = right[i]
+        at[i], gone[j], right[i] = m, 1, right[j]
+        if right[j] < n:
+            left[right[j]] = i
+        for k in (left[i], i):
+            if (m := pair(k)) is not None:
+                heapq.heappush(heap, (m, k))
+    return [t for t, x in zip(at, gone, strict=True) if not x]
+
+
 class Tokenizer:
-    """Encoder and decoder of one task; holds a DuckDB database in memory."""
+    """Encoder and decoder of one task; holds a DuckDB database in memory, which never spills to the machine's disk."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self.db.register("merge_rows", merge_table(ranks))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.merge_rows = merge_table(ranks)
+        self.merges: dict[int, int] = {}
+        self.db.register("merge_rows", self.merge_rows)
         self.db.execute("CREATE TABLE merges AS SELECT (a << 20) | b AS pair, merged FROM merge_rows")
         self.db.register("vocabulary_rows", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
@@ -100,6 +131,15 @@ class Tokenizer:
     def _learn(self, pieces: list[str]) -> None:
         """Encodes distinct pieces and remembers their ids, as little-endian 32-bit integers."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        if max(map(len, raw)) > LONG:
+            self.merges = self.merges or {a << 20 | b: m for a, b, m in zip(*(self.merge_rows.column(c).to_pylist() for c in ("a", "b", "merged")), strict=True)}
+            for p, x in zip(pieces, raw, strict=True):
+                if len(x) > LONG:
+                    self.pieces[p] = np.array(contract(self.byte[np.frombuffer(x, np.uint8)].tolist(), self.merges), "<u4").tobytes()
+            pieces = [p for p, x in zip(pieces, raw, strict=True) if len(x) <= LONG]
+            raw = [x for x in raw if len(x) <= LONG]
+            if not raw:
+                return
         ends = np.cumsum([len(x) for x in raw], dtype=np.int32)
         tokens = pa.ListArray.from_arrays(np.concatenate([np.zeros(1, np.int32), ends]), self.byte[np.frombuffer(b"".join(raw), np.uint8)])
         self.db.register("start", pa.table({"piece": np.arange(len(raw), dtype=np.int32), "tokens": tokens}))
@@ -147,9 +187,20 @@ class Tokenizer:
         return out
 
 
-def _task(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
-    gc.disable()  # the memory of a task holds a million small objects and no cycles
-    return Tokenizer(ranks, pattern)
+class _Task:
+    """The tokenizer of a task while it runs, without Python's cycle search: its memory holds a million small objects and no cycles."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.made = lambda: Tokenizer(ranks, pattern)
+
+    def __enter__(self) -> Tokenizer:
+        self.was = gc.isenabled()
+        gc.disable()
+        return self.made()
+
+    def __exit__(self, *_) -> None:
+        if self.was:
+            gc.enable()
 
 
 def round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
@@ -162,29 +213,30 @@ def round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str, with
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
-        for batch in batches:
-            tokenizer = tokenizer or _task(ranks, pattern)
-            ids = tokenizer.encode(batch.column("text").to_pylist())
-            raw = tokenizer.decode(ids)
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())]
-            if with_ids:
-                columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+        with _Task(ranks, pattern) as tokenizer:
+            for batch in batches:
+                ids = tokenizer.encode(batch.column("text").to_pylist())
+                raw = tokenizer.decode(ids)
+                columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())]
+                if with_ids:
+                    columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode_column(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id and ids, an array of the token ids of the text."""
+    """doc_id and ids, an array of the token ids of the text.
+
+    Null and empty texts have no ids; repeated rows come out as often as they go in; extra columns are not read.
+    """
     common.session(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
-        for batch in batches:
-            tokenizer = tokenizer or _task(ranks, pattern)
-            ids = tokenizer.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
+        with _Task(ranks, pattern) as tokenizer:
+            for batch in batches:
+                ids = tokenizer.encode(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<long>")
 
@@ -194,10 +246,9 @@ def decode_column(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     common.session(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
-        for batch in batches:
-            tokenizer = tokenizer or _task(ranks, pattern)
-            ids = [np.array(x or [], "<u4") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokenizer.decode(ids), pa.binary())], ["doc_id", "raw"])
+        with _Task(ranks, pattern) as tokenizer:
+            for batch in batches:
+                ids = [np.array(x or [], "<u4") for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokenizer.decode(ids), pa.binary())], ["doc_id", "raw"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")

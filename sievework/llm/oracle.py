@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+import public_tokenizers
+
 from .suffix_dedup import LENGTH, PASSAGE
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x20\x09-\x0D]+')"
@@ -27,6 +29,28 @@ least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN least_of ON a = vec_id
 """
 
+# The tokenizer's white space, and a mark that no text holds. Before the last white space of a run that something follows, the
+# mark does what the pattern's look-ahead does: the run ends there, and its last character goes with what follows or by itself.
+_BLANK = r"\x09-\x0D \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_MARK = "﷐"
+_PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}{_MARK}]+|[{_BLANK}]+".replace("'", "''")
+OP5 = rf"""
+WITH RECURSIVE vocabulary AS (SELECT hex(from_base64(t)) AS h, id FROM read_csv('{public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}', delim = ' ', header = false, quote = '', columns = {{'t': 'VARCHAR', 'id': 'BIGINT'}})),
+split AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '([{_BLANK}])([^{_BLANK}])', '{_MARK}\1\2', 'g'), '{_PIECE}') AS pieces FROM documents),
+piece AS (SELECT doc_id, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS pos FROM split),
+step AS (
+    SELECT p, regexp_extract_all(hex(p), '..') AS tokens, true AS live FROM (SELECT DISTINCT p FROM piece)
+  UNION ALL
+    (WITH pair AS (SELECT p, unnest(list_zip(tokens[:-2], tokens[2:])) AS ab, generate_subscripts(tokens[2:], 1) AS pos FROM step WHERE live AND len(tokens) > 1),
+     best AS (SELECT p, arg_min(pos, (id, pos)) AS pos, arg_min(h, (id, pos)) AS h FROM pair JOIN vocabulary ON h = ab[1] || ab[2] GROUP BY p)
+     SELECT p, CASE WHEN pos IS NULL THEN tokens ELSE tokens[:pos - 1] || [h] || tokens[pos + 2:] END, pos IS NOT NULL FROM step LEFT JOIN best USING (p) WHERE live)
+),
+token AS (SELECT p, k, h, id FROM (SELECT p, unnest(tokens) AS h, generate_subscripts(tokens, 1) AS k FROM step WHERE NOT live) JOIN vocabulary USING (h)),
+done AS (SELECT doc_id, count(*) AS n, string_agg(substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2), '' ORDER BY pos, k) AS ids, string_agg(h, '' ORDER BY pos, k) AS raw
+    FROM (SELECT doc_id, pos, k, h, printf('%08x', id) AS x FROM piece JOIN token USING (p)) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_tokens, sha256(unhex(coalesce(ids, ''))) AS ids_sha256, sha256(unhex(coalesce(raw, ''))) AS decoded_sha256 FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
 # Bytes are two hex digits each, so plain string functions serve; texts are cut up first, since these count from a string's start. A character ends before the next byte that doesn't continue one.
 OP8 = f"""
 WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),

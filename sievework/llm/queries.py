@@ -57,4 +57,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ngram_join, op2_warc, op3_weak_label, op4_quality_rules, op5_bpe, op6_html_extract, op7_embedding_dedup, op8_suffix_dedup, op9_lm_score, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracle.OP1, "op7_embedding_dedup": oracle.OP7, "op8_suffix_dedup": oracle.OP8}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracle.OP1, "op5_bpe": oracle.OP5, "op7_embedding_dedup": oracle.OP7, "op8_suffix_dedup": oracle.OP8}

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -268,6 +269,23 @@ def test_bpe_agrees_with_tiktoken(spark):
     assert {r["doc_id"]: bytes(r["raw"]).decode() for r in raw} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_bpe_of_long_pieces():
+    """Pieces without a blank, up to a megabyte, as the tiktoken library encodes them; a heap contracts as the query does."""
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyzéß", 1_000_000), ("ab", 5000), ("ent", 700), ("ß日本", 300), ("the", bpe.LONG))] + ["a" * 3000]
+    tokenizer = bpe.Tokenizer(RANKS, public_tokenizers.PATTERN)
+    start = time.time()
+    got = tokenizer.encode(texts)
+    assert time.time() - start < 60
+    assert [x.tolist() for x in got] == [own.encode_ordinary(t) for t in texts]
+    assert tokenizer.decode(got) == [t.encode() for t in texts]
+    words = ["".join(rng.choice("aeinst") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    by_query = [x.tolist() for x in tokenizer.encode(words)]
+    merges = {a << 20 | b: m for a, b, m in zip(*(tokenizer.merge_rows.column(c).to_pylist() for c in ("a", "b", "merged")), strict=True)}
+    assert by_query == [bpe.contract([RANKS[bytes([x])] for x in w.encode()], merges) for w in words]
+
+
 def test_lm_score(spark):
     rows = corpus()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
