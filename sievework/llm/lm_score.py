@@ -31,7 +31,7 @@ import copy
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +44,15 @@ from . import common
 
 FOLDS, HELD_OUT = 7, 2
 SHARED, OWN_SHARE, OWN_LEAST = 64, 1 << 16, 10
-DIMS, NOISE, NOISE_WITHIN, BATCH, RATE, SEED = 24, 32, 4, 1024, 0.1, 5
+DIMS, NOISE, NOISE_WITHIN, BATCH, RATE, SEED = 24, 32, 2, 1024, 0.1, 5
 #: Eighths of the training documents that each round learns from; together every document once.
 ROUNDS = (1, 2, 5)
 #: Passes over the tokens of a small corpus: as many as make LEAST_TOKENS, PASSES_MOST at most; a larger one has one.
 LEAST_TOKENS, PASSES_MOST = 1_500_000, 4
 #: A replica sees at least about so many tokens.
 REPLICA_TOKENS = 1_000_000
-#: Items whose changes are sent as one row, and tokens that are scored at once.
-BLOCK, SCORE_AT_ONCE = 1024, 1 << 15
+#: Items whose changes are sent as one row; tokens that are scored at once, and of these by one product.
+BLOCK, SCORE_AT_ONCE, PRODUCT = 1024, 1 << 16, 1 << 12
 #: A word is frequent from 1 / FREQUENT of all training tokens on, so there are at most so many.
 FREQUENT = 500_000
 #: Words that a task holds at once.
@@ -66,14 +66,23 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def ending_class(word: bytes) -> int:
-    """1 to SHARED, by the last two bytes of the word."""
-    return 1 + xxhash.xxh32_intdigest(word[-2:]) % SHARED
+class _Endings(dict):
+    """Class by the last two bytes: 1 to SHARED, and 0 for no word."""
 
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = found = 1 + xxhash.xxh32_intdigest(ending) % SHARED if ending else 0
+        return found
 
-def signed_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+
+_ENDINGS = _Endings()
+
+
+def ending_classes(words: Collection[bytes]) -> np.ndarray:
+    return np.fromiter((_ENDINGS[w[-2:]] for w in words), np.int64, len(words))
+
+
+def signed_hashes(words: Collection[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def count_words(documents: DataFrame) -> DataFrame:
@@ -81,7 +90,7 @@ def count_words(documents: DataFrame) -> DataFrame:
 
     def rows(count: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([signed_hash(w) for w in count], pa.int64()), pa.array([ending_class(w) if w else 0 for w in count], pa.int32()), pa.array(count.values(), pa.int64())],
+            [pa.array(signed_hashes(count)), pa.array(ending_classes(count).astype(np.int32)), pa.array(np.fromiter(count.values(), np.int64, len(count)))],
             ["h", "class", "n"],
         )
 
@@ -102,31 +111,36 @@ def count_words(documents: DataFrame) -> DataFrame:
 
 
 class Words(dict):
-    """Numbers the words that a task meets; ``items`` and ``logs`` are by number. A log of nan: not among the frequent words."""
+    """Numbers the words that a task meets; ``hashes``, ``items`` and ``logs`` are by number. A log of nan: not among the frequent words."""
 
     def __init__(self, numbering: Numbering, known: np.ndarray, logs: np.ndarray):
         """known: sorted hashes of the frequent words, with their logs."""
         self.numbering, self.known, self.known_logs = numbering, known, logs
-        self.hashes: list[int] = []
-        self.items: list[int] = []
-        self.logs: list[float] = []
-
-    def __missing__(self, word: bytes) -> int:
-        h = signed_hash(word)
-        self[word] = n = len(self.hashes)
-        self.hashes.append(h)
-        self.items.append(self.numbering.item(word, h))
-        self.logs.append(self.log_of(h))
-        return n
-
-    def log_of(self, h: int) -> float:
-        at = int(self.known.searchsorted(h))
-        return float(self.known_logs[at]) if at < len(self.known) and self.known[at] == h else math.nan
-
-    def trim(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.hashes, self.items, self.logs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def number(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self) > HOLD:
-            self.clear()
-            self.hashes, self.items, self.logs = [], [], []
+            self.reset()
+        new = set().union(*texts).difference(self)
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            hashes = signed_hashes(new)
+            self.hashes = np.concatenate([self.hashes, hashes])
+            self.items = np.concatenate([self.items, self.numbering.items(hashes, ending_classes(new))])
+            self.logs = np.concatenate([self.logs, look_up(hashes, self.known, self.known_logs, math.nan)])
+        return [np.fromiter(map(self.__getitem__, t), np.int64, len(t)) for t in texts]
+
+
+def look_up(x: np.ndarray, keys: np.ndarray, values: np.ndarray, other) -> np.ndarray:
+    """The value of each element by sorted ``keys``, or else ``other``."""
+    if not len(keys):
+        return np.full(len(x), other, values.dtype)
+    at = keys.searchsorted(x).clip(max=len(keys) - 1)
+    return np.where(keys[at] == x, values[at], other)
 
 
 class Numbering:
@@ -141,16 +155,16 @@ class Numbering:
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         self.counts = n[order]
-        self.end, self.by_ending = int(number[0]), number[: SHARED + 1].tolist()
-        self.own = dict(zip(hashes.tolist(), number[SHARED + 1 :].tolist(), strict=True))
+        self.end, self.by_ending = int(number[0]), number[: SHARED + 1]
+        by_hash = np.argsort(hashes)
+        self.own, self.own_items = hashes[by_hash], number[SHARED + 1 :][by_hash]
         self.ending = np.zeros(len(order), np.int64)  # of the shared items, else 0
         self.ending[number[1 : SHARED + 1]] = np.arange(1, SHARED + 1)
 
-    def item(self, word: bytes, h: int) -> int:
-        if not word:
-            return self.end
-        found = self.own.get(h)
-        return self.by_ending[ending_class(word)] if found is None else found
+    def items(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        """Items of words by hash and ending; an ending of 0 is the end of a text."""
+        own = look_up(hashes, self.own, self.own_items, -1)
+        return np.where((own < 0) | (endings == 0), self.by_ending[endings], own)
 
 
 def contexts(items: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,12 +244,13 @@ class LogBilinear:
     def log10(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         """log10 p(z | x, y) of each token: one matrix product with all classes, and one with the words of each class that occurs."""
         ctx, c = self.context(x, y), self.class_of[z]
-        out = _log_softmax(ctx @ self.top.T + self.top_bias, c)
+        out = np.concatenate([_log_softmax(ctx[k : k + PRODUCT] @ self.top.T + self.top_bias, c[k : k + PRODUCT]) for k in range(0, len(c), PRODUCT)] or [np.zeros(0)])
         order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(len(self.top) + 1))
         for k in np.flatnonzero(np.diff(cut)):
-            at, own = order[cut[k] : cut[k + 1]], slice(self.edge[k], self.edge[k + 1])
-            out[at] += _log_softmax(ctx[at] @ self.out[own].T + self.out_bias[own], z[at] - self.edge[k])
+            own = slice(self.edge[k], self.edge[k + 1])
+            for at in np.array_split(order[cut[k] : cut[k + 1]], -(-(cut[k + 1] - cut[k]) // PRODUCT)):
+                out[at] += _log_softmax(ctx[at] @ self.out[own].T + self.out_bias[own], z[at] - self.edge[k])
         return out / math.log(10)
 
     def _columns(self) -> np.ndarray:
@@ -270,19 +285,21 @@ class LogBilinear:
 
 
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row at its element ``at``."""
-    top = scores.max(1)
-    return (scores[np.arange(len(at)), at] - top).astype(np.float64) - np.log(np.exp(scores - top[:, None]).sum(1, dtype=np.float64))
+    """The log of the softmax of each row at its element ``at``; overwrites the scores."""
+    if scores.max() > 80 or scores.min() < -80:  # only then could a sum of exponentials overflow, or vanish
+        scores -= scores.max(1)[:, None]
+    own = scores[np.arange(len(at)), at]
+    return own - np.log(np.exp(scores, out=scores).sum(1)).astype(np.float64)
 
 
 def _number(words: Words, batch: pa.RecordBatch, training: int | None = None) -> list[np.ndarray]:
     """The words of the batch's texts by number, ends included; with ``training``, of the training documents in these eighths (a bit map)."""
-    words.trim()
-    out = []
+    texts = []
     for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
         if training is None or not held_out(i) and training >> eighth(i) & 1:
-            out.append(np.array([*map(words.__getitem__, common.words_of(text, lower=True)), words[END]], np.int64))
-    return out
+            texts.append(common.words_of(text, lower=True))
+            texts[-1].append(END)
+    return words.number(texts)
 
 
 def eighth(doc_id: int | None) -> int:
@@ -328,8 +345,8 @@ def train(docs: DataFrame, numbering: Numbering, tokens: int) -> LogBilinear:
             replica, words = copy.deepcopy(start), Words(numbered, np.zeros(0, np.int64), np.zeros(0))
             rng = np.random.default_rng((SEED, number, TaskContext.get().partitionId()))
             for batch in batches:
-                texts, items = _number(words, batch, bits), np.array(words.items, np.int64)
-                replica.fit(*contexts([items[x] for x in texts], numbered.end), rng, passes)
+                texts = _number(words, batch, bits)
+                replica.fit(*contexts([words.items[x] for x in texts], numbered.end), rng, passes)
             if (replica.used != start.used).any():
                 for block, width, rows, weights, change in replica.changes(start):
                     half = change.clip(-6e4, 6e4).astype(np.float16)
@@ -381,9 +398,9 @@ def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFr
         words = Words(numbered, hashes, logs)
         for batch in batches:
             numbers = _number(words, batch)
-            items, log, hashed = np.array(words.items, np.int64), np.array(words.logs), np.array(words.hashes, np.int64)
-            rare, in_shared = np.isnan(log), numbered.ending[items] > 0
-            log[rare] = 0
+            items, hashed = words.items, words.hashes
+            rare, in_shared = np.isnan(words.logs), numbered.ending[items] > 0
+            log = np.where(rare, 0.0, words.logs)
             size = np.array([len(x) for x in numbers])
             at = np.cumsum(size) - size
             every = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
@@ -393,13 +410,15 @@ def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFr
             def summed(values: np.ndarray, at=at) -> np.ndarray:
                 return np.add.reduceat(values, at) if len(at) else values[:0]
 
-            unknown = []
-            for n in numbers:
-                ids, times = np.unique(n[rare[n]], return_counts=True)
-                unknown.append([{"h": h, "n": k} for h, k in zip(hashed[ids].tolist(), times.tolist(), strict=True)])
+            # The words of each text that are not frequent.
+            at_rare = np.flatnonzero(rare[every])
+            pairs, times = np.unique(np.repeat(np.arange(len(size)), size)[at_rare] * (len(rare) + 1) + every[at_rare], return_counts=True)
+            text, word = pairs // (len(rare) + 1), pairs % (len(rare) + 1)
+            cut = np.searchsorted(text, np.arange(len(size) + 1))
+            unknown = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(hashed[word]), pa.array(times.astype(np.int64))], ["h", "n"]))
             known = summed((~rare[every]).astype(np.int64)) - (1 - end_known)
             columns = [pa.array(size, pa.int64()), pa.array(known, pa.int64()), *(pa.array(summed(v), pa.float64()) for v in (log[every], np.where(in_shared[every], log[every], 0.0), model_log))]
-            columns.append(pa.array(unknown, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))))
+            columns.append(unknown)
             ids = batch.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held_out(i) for i in ids], pa.bool_()), *columns], ["doc_id", "held_out", "n_tokens", "frequent_known", "frequent_log", "shared_log", "model_log", "rare"])
 
