@@ -16,6 +16,10 @@ but the first are later copies from end to end, and the first stands for them.
 Runs that share a bucket with different ones (the edges of repeated passages)
 are compared byte by byte, by suffix and LPF arrays of their buckets.
 
+A run of more than ``length`` suffixes holds its anchor several times, so it may
+repeat itself over and over. Of equal strings of one run the first alone is sorted;
+for the others it is the earlier match that reaches.
+
 A bucket of more than HOT different runs is dealt on with the longest anchors there
 are, the whole strings. Such a bucket holds copies of one string alone: its
 suffix order is the order of positions, every common prefix is the whole, and so
@@ -46,7 +50,7 @@ SEGMENT = 1 << 18
 #: Suffixes sorted at once; each takes the bytes of the longest string.
 SORT_AT_ONCE = 30_000
 #: Beyond so many different runs a bucket is dealt on by its whole strings, over all tasks.
-HOT = 512
+HOT = 4096
 _LUT = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=7) | 1 for i in range(256)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -236,15 +240,22 @@ def factors(rows: list[tuple], length: int, reach: int) -> list[tuple]:
     rank = np.empty(len(rows), np.int64)
     rank[place] = np.arange(len(rows))
     position = rank[owner] * (SEGMENT + 1) + offset
-    parts = -(-len(owner) // SORT_AT_ONCE)
     state = np.zeros(len(owner), np.int8)  # 1: later, 2: every
-    share = np.concatenate([string_hashes(r[5], r[4], length) for r in rows]) % np.uint64(parts) if parts > 1 else None
+    first = np.ones(len(owner), bool)
+    base = np.cumsum(count) - count
+    for k in np.flatnonzero(count > length):
+        _, again, first_again = repeats_within(rows[k][5], int(count[k]), reach)
+        state[base[k] + again], first[base[k] + again] = 3, False
+        state[base[k] + first_again] = 2
+    some = np.flatnonzero(first)
+    parts = -(-len(some) // SORT_AT_ONCE)
+    share = np.concatenate([string_hashes(r[5], r[4], length) for r in rows])[some] % np.uint64(parts) if parts > 1 else None
     for p in range(parts):
-        part = np.flatnonzero(share == p) if parts > 1 else np.arange(len(owner))
+        part = some[share == p] if parts > 1 else some
         order, shared = suffix_order(data, at[owner[part]] + offset[part], size[owner[part]] - offset[part], group[part], reach)
         previous = longest_previous_factor(position[part], order, shared)
         following = longest_previous_factor(-position[part], order, shared)
-        state[part] = (previous >= length) + 2 * (np.maximum(previous, following) >= reach)
+        state[part] |= ((previous >= length) + 2 * (np.maximum(previous, following) >= reach)).astype(np.int8)
     hit = np.flatnonzero(state)
     if not len(hit):
         return []
@@ -258,6 +269,18 @@ def string_hashes(raw: bytes, starts: int, length: int) -> np.ndarray:
     return np.concatenate([_hashes(_sums(data), length) for _, _, data in segments(raw[: starts + length - 1], length, length)])
 
 
+def repeats_within(raw: bytes, starts: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings of ``reach`` bytes of a run, the starts of those that the run holds before, and of the first of these."""
+    full = min(starts, len(raw) - reach + 1)
+    if full <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = string_hashes(raw, full, reach)
+    _, at, times = np.unique(h, return_index=True, return_counts=True)
+    again = np.ones(full, bool)
+    again[at] = False
+    return h, np.flatnonzero(again), at[times > 1]
+
+
 REPEATS = "did long, tid long, start int, count int, later boolean, every boolean"
 CONTEXTS = "bucket long, did long, tid long, start int, count int, bytes binary"
 
@@ -379,7 +402,7 @@ def compare_hot(work: DataFrame, length: int, look: int, scratch: common.Scratch
     strings of it meet in partial aggregates and a join that can be split. The
     smallest position of a string has no previous factor, all others reach it.
     """
-    schema = "bucket long, did long, tid long, start int, short long, long long"
+    schema = "bucket long, did long, tid long, start int, short long, long long, twice boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,22 +413,22 @@ def compare_hot(work: DataFrame, length: int, look: int, scratch: common.Scratch
                         n = d["count"]
                         bytes_ = raw[d["start"] : d["start"] + n + look - 1]
                         short = string_hashes(bytes_, n, length).view(np.int64)
-                        full = max(0, len(bytes_) - look + 1)
-                        long = pa.array(string_hashes(bytes_, full, look).view(np.int64) if full else np.zeros(0, np.int64))
+                        long, again, first_again = repeats_within(bytes_, n, look)
+                        null, twice = np.zeros(n, bool), np.zeros(n, bool)
+                        null[again], twice[first_again] = True, True  # what the run itself holds before meets nothing
                         yield pa.RecordBatch.from_arrays(
-                            [*(pa.array(np.full(n, v, np.int64)) for v in (d["bucket"], did, tid)), pa.array(np.arange(d["start"], d["start"] + n, dtype=np.int32)), pa.array(short), pa.concat_arrays([long, pa.nulls(n - full, pa.int64())])],
-                            ["bucket", "did", "tid", "start", "short", "long"],
-                        )
+                            [*(pa.array(np.full(n, v, np.int64)) for v in (d["bucket"], did, tid)), pa.array(np.arange(d["start"], d["start"] + n, dtype=np.int32)), pa.array(short, mask=null),
+                             pa.concat_arrays([pa.array(long.view(np.int64), mask=null[: len(long)]), pa.nulls(n - len(long), pa.int64())]), pa.array(twice)],
+                            ["bucket", "did", "tid", "start", "short", "long", "twice"],
+                        )
 
     rows = work.mapInArrow(run, schema)
-    first = rows.groupBy("bucket", "short").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first")).where("times > 1").drop("times")
+    first = rows.where("short is not null").groupBy("bucket", "short").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "tid", "start")).alias("first")).where("times > 1").drop("times")
     again = rows.where("long is not null").groupBy("bucket", "long").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "long", F.lit(True).alias("every"))
-    found = rows.join(scratch.save(first), ["bucket", "short"])
-    if look > length:
-        found = found.join(scratch.save(again), ["bucket", "long"], "left")
-    else:
-        found = found.withColumn("every", F.lit(True))
-    return found.select("did", "tid", "start", F.lit(1).alias("count"), (F.struct("did", "tid", "start") != F.col("first")).alias("later"), F.coalesce("every", F.lit(False)).alias("every"))
+    found = rows.join(scratch.save(first), ["bucket", "short"], "left").join(scratch.save(again), ["bucket", "long"], "left")
+    later = F.col("short").isNull() | F.coalesce(F.struct("did", "tid", "start") != F.col("first"), F.lit(False))
+    every = F.col("short").isNull() | F.col("twice") | F.coalesce("every", F.lit(False))
+    return found.select("did", "tid", "start", F.lit(1).alias("count"), later.alias("later"), every.alias("every")).where("later or every")
 
 
 def _kept(raw: bytes, spans: list[dict]) -> bytes:

@@ -125,11 +125,12 @@ def test_rtree_bound_loses_no_pair():
                 assert (a, b) in found
 
 
-@pytest.mark.parametrize("hot, at_once", [(512, 50_000), (1, 50_000), (512, 40)])
+@pytest.mark.parametrize("hot, at_once", [(4096, 30_000), (1, 30_000), (4096, 40)])
 def test_suffix_dedup(spark, monkeypatch, hot, at_once):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SORT_AT_ONCE", at_once)
     rows, size = corpus(5), suffix_dedup.LENGTH
+    rows += [(i, head + "y z " * 400 + tail, "en", "s") for i, head, tail in ((200, "", ""), (201, rows[0][1], ""), (202, "", rows[2][1]), (203, "z" * 500, "end"))]
     raw = [(t or "").encode() for _, t, *_ in rows]
     count = Counter(b[k : k + size] for b in raw for k in range(len(b) - size + 1))
     want = Counter()
