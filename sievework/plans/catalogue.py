@@ -204,13 +204,16 @@ def q_true_pairs(spark, sf_dir):
 _MSM = f"WITH {O.CLEAN}, {O.TRUE_OFFERS}, {O.BLOCKED}"
 
 
+_LSH = f"WITH {O.CLEAN}, {O.lsh_pairs(BANDS, ROWS)}, {O.BLOCKED}"
+
+
 @query(f"{_MSM} SELECT i, j FROM blocked")
 def q_block_pairs(spark, sf_dir):
     clean, pairs = _pairs(spark, sf_dir)
     return msm.block(pairs, clean).select("i", "j")
 
 
-@query()
+@query(f"{_LSH} SELECT i, j FROM blocked")
 def q_lsh_block_pairs(spark, sf_dir):
     clean, pairs = _candidates(spark, sf_dir)
     return msm.block(pairs, clean).select("i", "j")
@@ -247,14 +250,14 @@ def q_split(spark, sf_dir):
     return sampling.split(products.docs(spark, sf_dir)).select("pid", "part")
 
 
-def _grid_sql() -> str:
+def _grid_sql(given: str = _BOOT) -> str:
     number = max(b * r for b, r in GRID)
     parts = []
     for b, r in GRID:
         parts.append(f"band_{b} AS (SELECT boot_id, pid, b AS band, sha256(array_to_string(sig[b * {r} + 1 : b * {r} + {r}], ',')) AS bucket FROM (SELECT boot_id, pid, sig, unnest(range({b})) AS b FROM signed))")
     found = " UNION ALL ".join(f"SELECT DISTINCT x.boot_id, {b} AS bands, {r} AS rows, x.pid AS i, y.pid AS j FROM band_{b} x JOIN band_{b} y ON x.boot_id = y.boot_id AND x.band = y.band AND x.bucket = y.bucket AND x.pid < y.pid" for b, r in GRID)
     grid = " UNION ALL ".join(f"SELECT {b} AS bands, {r} AS rows, {lsh.similarity_threshold(b, r)!r}::DOUBLE AS t" for b, r in GRID)
-    return f"""{_BOOT}, {O.signed(number, source='sample', key='boot_id, pid')}, {', '.join(parts)}, found AS ({found}), grid AS ({grid}),
+    return f"""{given}, {O.signed(number, source='sample', key='boot_id, pid')}, {', '.join(parts)}, found AS ({found}), grid AS ({grid}),
     truth AS (SELECT a.boot_id, a.pid AS i, b.pid AS j FROM sample a JOIN sample b ON a.boot_id = b.boot_id AND a.model_id = b.model_id AND a.pid < b.pid),
     hit AS (SELECT f.boot_id, bands, rows, count(*) AS found, count(t.i) AS tp FROM found f LEFT JOIN truth t USING (boot_id, i, j) GROUP BY ALL),
     counts AS (SELECT s.boot_id, s.n, g.bands, g.rows, g.t, coalesce(found, 0) AS found, coalesce(tp, 0) AS tp, coalesce(tt, 0) AS tt
@@ -375,28 +378,31 @@ def q_msm_edges_truncated(spark, sf_dir):
     return msm.edges(pairs, clean, truncate_distances=True)
 
 
-# The same over the candidates that blocking finds; SQL has no quick way to these, so tests hold them against it on few products.
+# The same over the candidates that blocking finds.
 
 
-@query()
+@query(f"{_LSH}, {O.VALUE} SELECT i, j, round(mk_sim, 6) AS mk_sim, round(nmk_sim, 6) AS nmk_sim, matches FROM valued")
 def q_lsh_value_sim(spark, sf_dir):
     clean, pairs = _candidates(spark, sf_dir)
     return msm.value_similarities(msm.block(pairs, clean), clean, 0.7).select("i", "j", _round("mk_sim", "mk_sim"), _round("nmk_sim", "nmk_sim"), F.col("matches").cast("long").alias("matches"))
 
 
-@query()
+@query(f"{_LSH}, {O.TITLESIM} SELECT i, j, round(t, 6) AS title_sim FROM titlesim")
 def q_lsh_title_sim(spark, sf_dir):
     clean, pairs = _candidates(spark, sf_dir)
     return msm.title_similarity(msm.block(pairs, clean), msm.Parameters()).select("i", "j", _round("title_sim", "title_sim"))
 
 
-@query()
+_LSH_EDGE = f"{_LSH}, {O.VALUE}, {O.TITLESIM}, {O.EDGES}"
+
+
+@query(f"{_LSH_EDGE} SELECT i, j, round(dist, 6) AS dist FROM edge")
 def q_lsh_msm_edges(spark, sf_dir):
     clean, pairs = _candidates(spark, sf_dir)
     return msm.edges(pairs, clean).select("i", "j", _round("dist", "dist"))
 
 
-@query()
+@query(f"{_LSH_EDGE} SELECT i, j, CAST(CASE WHEN dist < 0 THEN ceil(dist) ELSE floor(dist) END AS DOUBLE) + 0.0 AS dist FROM (SELECT i, j, round(dist, 9) AS dist FROM edge)")
 def q_lsh_msm_edges_truncated(spark, sf_dir):
     clean, pairs = _candidates(spark, sf_dir)
     return msm.edges(pairs, clean, truncate_distances=True)
@@ -406,8 +412,13 @@ def q_lsh_msm_edges_truncated(spark, sf_dir):
 
 
 def _edges(spark, sf_dir, source=_candidates):
+    """Distances to nine digits, so that equal ones are equal in any engine; candidates; products."""
     clean, pairs = source(spark, sf_dir)
-    return store.written(msm.edges(pairs, clean)), pairs, clean
+    return store.written(msm.edges(pairs, clean).withColumn("dist", F.round("dist", 9))), pairs, clean
+
+
+_LSH_COMPONENTS = _LSH_EDGE.replace("WITH ", "WITH RECURSIVE ", 1) + f", {O.COMPONENTS}"
+_CLUSTERS = f"{_LSH_COMPONENTS}, {O.clusters(evaluate.THRESHOLDS)}"
 
 
 @query(_EDGE.replace("WITH ", "WITH RECURSIVE ", 1) + """, close AS (SELECT i, j FROM edge WHERE dist < 0.9 UNION SELECT j, i FROM edge WHERE dist < 0.9),
@@ -418,13 +429,13 @@ def q_components(spark, sf_dir):
     return cluster.components(found.where("dist < 0.9"))
 
 
-@query()
+@query(f"{_LSH_COMPONENTS} SELECT pid, component FROM comp")
 def q_lsh_components(spark, sf_dir):
     found, _, _ = _edges(spark, sf_dir)
     return cluster.components(found.where("dist < 0.9"))
 
 
-@query()
+@query(f"{_CLUSTERS} SELECT eps, pid, cluster_id FROM clustered")
 def q_clusters(spark, sf_dir):
     found, _, _ = _edges(spark, sf_dir)
     return cluster.clusters(found, evaluate.THRESHOLDS)
@@ -436,15 +447,23 @@ def q_cluster_violations(spark, sf_dir):
     return cluster.violations(store.written(cluster.clusters(found, evaluate.THRESHOLDS)), found).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def q_tuning(spark, sf_dir):
+def _tuned(spark, sf_dir):
     found, pairs, clean = _edges(spark, sf_dir)
     return evaluate.tune(found, pairs, lsh.true_pairs(clean), clean.count())
 
 
-@query()
+def _rounded(tuned):
+    return tuned.select("eps", "tp", "fp", "fn", *(_round(c, c) for c in ("pq", "pc", "f1_star", "fraction")), "found")
+
+
+@query(f"{_CLUSTERS}, {O.TUNED} SELECT * FROM tuned")
+def q_tuning(spark, sf_dir):
+    return _rounded(_tuned(spark, sf_dir))
+
+
+@query(f"{_CLUSTERS}, {O.TUNED} SELECT * FROM tuned ORDER BY f1_star DESC, eps DESC LIMIT 1")
 def q_tuning_best(spark, sf_dir):
-    return evaluate.best(q_tuning(spark, sf_dir))
+    return _rounded(evaluate.best(_tuned(spark, sf_dir)))
 
 
 @query()
@@ -481,12 +500,24 @@ def q_flatten(spark, sf_dir):
     return products.flatten(grouped.select(F.create_map("model_id", "rows").alias("m")), "m")
 
 
-@query(f"{_EVAL}, a AS (SELECT bands, avg(f1_star) AS f1_star, avg(pc) AS pc, avg(pq) AS pq, avg(fraction) AS x FROM result GROUP BY bands),"
-       " u AS (SELECT 'pc' AS metric, x, pc AS y FROM a UNION ALL SELECT 'pq', x, pq FROM a UNION ALL SELECT 'f1_star', x, f1_star FROM a)"
-       " SELECT s AS series, metric, round(x, 6) AS x, round(y, 6) AS y FROM u, (SELECT unnest(['improved', 'baseline']) AS s) UNION ALL SELECT 'improved', 'f1', round(x, 6), round(f1_star, 6) FROM a")
+_BASELINE_WORDS = rf"""{O.OFFER}, {O.RAW}, popped AS (SELECT pid, ord, v FROM raw_feat WHERE k <> 'Brand'),
+    fw AS (SELECT pid, string_agg(regexp_extract(lower(v), {O._quote(T.FEATURE_WORD)}), ' ' ORDER BY ord) AS f FROM popped GROUP BY pid),
+    tw AS (SELECT pid, model_id, array_to_string(regexp_extract_all({O.norm('lower(title)', T.BASELINE_PATTERNS)}, {O._quote(T.TITLE_WORD)}, 1), ' ') AS t FROM offer),
+    docs AS (SELECT pid, model_id, list_sort(list_distinct({O.toks("concat_ws(' ', t, f)")})) AS words FROM tw LEFT JOIN fw USING (pid))"""
+
+
+def _series_sql(series: str, products_sql: str) -> str:
+    return f"""SELECT '{series}' AS series, u.metric, round(x, 6) AS x, round(u.y, 6) AS y FROM (
+        {_grid_sql(f"WITH {products_sql}, {O.boot(RATIO, SAMPLES)}")}, a AS (SELECT bands, avg(f1_star) AS f1_star, avg(pc) AS pc, avg(pq) AS pq, avg(fraction) AS x FROM result GROUP BY bands)
+        SELECT x, unnest([{{'metric': 'pc', 'y': pc}}, {{'metric': 'pq', 'y': pq}}, {{'metric': 'f1_star', 'y': f1_star}}]) AS u FROM a)"""
+
+
+@query(_series_sql("improved", f"{O.CLEAN}, docs AS (SELECT pid, model_id, words FROM worded)") + " UNION ALL " + _series_sql("baseline", _BASELINE_WORDS))
 def q_plot_series(spark, sf_dir):
-    got = store.written(evaluate.average(evaluate.evaluate_lsh(_sample(spark, sf_dir), GRID)))
-    return evaluate.plot_series(got, got, got).select("series", "metric", _round("x", "x"), _round("y", "y"))
+    """The series of the blocking figures for the improved and the baseline cleaning of the offers."""
+    both = (_cleaned(spark, sf_dir), words.clean_products_baseline(products.offers(spark, sf_dir)))
+    new, old = (evaluate.average(evaluate.evaluate_lsh(store.written(sampling.bootstrap(p.select("pid", "model_id", "words"), RATIO, SAMPLES)), GRID)) for p in both)
+    return evaluate.plot_series(new, old).select("series", "metric", _round("x", "x"), _round("y", "y"))
 
 
 @query()

@@ -141,3 +141,38 @@ def boot(ratio: float, number: int, seed: int = 42) -> str:
 total AS (SELECT count(*) AS n FROM docs),
 draws AS (SELECT boot_id, draw, {hashed("boot_id || '-' || draw", seed)} % n AS position FROM (SELECT boot_id, n, unnest(range(round(n * {ratio})::BIGINT)) AS draw FROM (SELECT unnest(range({number})) AS boot_id) b CROSS JOIN total)),
 sample AS (SELECT boot_id, draw AS pid, p.pid AS source_pid, model_id, words FROM draws JOIN placed p USING (position))"""
+
+
+def lsh_pairs(bands: int, rows: int) -> str:
+    """The candidate pairs of the cleaned offers."""
+    return f"""{signed(bands * rows, source="worded")}, {banded(bands, rows)},
+pairs AS (SELECT DISTINCT a.pid AS i, b.pid AS j FROM banded a JOIN banded b ON a.band = b.band AND a.bucket = b.bucket AND a.pid < b.pid)"""
+
+
+# Distances to nine digits, so that equal ones are equal in any engine.
+COMPONENTS = """edged AS MATERIALIZED (SELECT i, j, round(dist, 9) AS dist FROM edge), close AS MATERIALIZED (SELECT i, j, dist FROM edged WHERE dist < 0.9),
+both_ways AS (SELECT i AS a, j AS b FROM close UNION SELECT j, i FROM close),
+reach AS (SELECT a AS pid, a AS r FROM both_ways UNION SELECT reach.pid, b FROM reach JOIN both_ways ON a = r),
+comp AS (SELECT pid, min(r) AS component FROM reach GROUP BY pid)"""
+
+
+def clusters(thresholds) -> str:
+    """Complete linkage: a step merges the closest clusters of each component; what only one of them is close to is close to neither.
+
+    Rows of ``link`` are the links left (a, b, d) and the merges (target, gone, height).
+    """
+    return f"""link AS (SELECT component, i AS a, j AS b, dist AS d, NULL::BIGINT AS target, NULL::BIGINT AS gone, NULL::DOUBLE AS height FROM close JOIN comp ON pid = i
+  UNION ALL (WITH best AS (SELECT component, arg_min(a, (d, a, b)) AS x, arg_min(b, (d, a, b)) AS y, min(d) AS h FROM link WHERE a IS NOT NULL GROUP BY component),
+    moved AS (SELECT component, CASE WHEN a = y THEN x ELSE a END AS a, CASE WHEN b = y THEN x ELSE b END AS b, d, a IN (x, y) OR b IN (x, y) AS touched FROM link JOIN best USING (component) WHERE a IS NOT NULL AND NOT (a = x AND b = y))
+    SELECT component, least(a, b), greatest(a, b), max(d), NULL, NULL, NULL FROM moved GROUP BY component, least(a, b), greatest(a, b), touched HAVING NOT touched OR count(*) = 2
+    UNION ALL SELECT component, NULL, NULL, NULL, x, y, h FROM best)),
+named AS (SELECT eps, pid, pid AS c FROM comp CROSS JOIN (SELECT unnest([{", ".join(map(str, thresholds))}]::DOUBLE[]) AS eps) UNION ALL SELECT eps, pid, target FROM named JOIN link ON gone = c AND height < eps),
+clustered AS (SELECT eps, pid, min(c) AS cluster_id FROM named GROUP BY eps, pid)"""
+
+
+TUNED = """truth AS (SELECT p.i, p.j FROM pairs p JOIN worded a ON a.pid = p.i JOIN worded b ON b.pid = p.j WHERE a.model_id = b.model_id),
+inside AS (SELECT a.eps, p.i, p.j FROM pairs p JOIN clustered a ON a.pid = p.i JOIN clustered b ON b.pid = p.j AND b.eps = a.eps AND b.cluster_id = a.cluster_id),
+counts AS (SELECT eps, coalesce(found, 0) AS found, coalesce(tp, 0) AS tp, (SELECT count(*) FROM truth) AS possible, (SELECT count(*) FROM pairs) AS number, (SELECT count(*) FROM worded) AS n
+    FROM (SELECT DISTINCT eps FROM clustered) LEFT JOIN (SELECT eps, count(*) AS found, count(t.i) AS tp FROM inside LEFT JOIN truth t USING (i, j) GROUP BY eps) USING (eps)),
+scored AS (SELECT *, coalesce(tp / nullif(found, 0), 0.0) AS pq, coalesce(tp / nullif(possible, 0), 0.0) AS pc FROM counts),
+tuned AS (SELECT eps, tp, found - tp AS fp, possible - tp AS fn, round(pq, 6) AS pq, round(pc, 6) AS pc, round(coalesce(2 * pq * pc / nullif(pq + pc, 0), 0.0), 6) AS f1_star, round(number / (n * (n - 1) / 2), 6) AS fraction, found FROM scored)"""
