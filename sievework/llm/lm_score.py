@@ -30,11 +30,12 @@ from __future__ import annotations
 import copy
 import math
 import zlib
-from collections import Counter
 from collections.abc import Collection, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -55,8 +56,8 @@ REPLICA_TOKENS = 1_000_000
 BLOCK, SCORE_AT_ONCE, PRODUCT = 1024, 1 << 16, 1 << 12
 #: A word is frequent from 1 / FREQUENT of all training tokens on, so there are at most so many.
 FREQUENT = 500_000
-#: Words that a task holds at once.
-HOLD = 400_000
+#: Words whose counts a task holds at once.
+HOLD = 1_000_000
 END = b""  # no word is empty
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64).item()
 
@@ -85,54 +86,57 @@ def signed_hashes(words: Collection[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def count_words(documents: DataFrame) -> DataFrame:
-    """(h, class, n) of the words of training documents, the end of a text (class 0) included; class: by ending."""
+class Tokens(NamedTuple):
+    """The tokens of some texts, one text after the other: ``codes`` point into ``hashes`` and ``endings`` of distinct words, of which the end of a text is the last."""
 
-    def rows(count: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed_hashes(count)), pa.array(ending_classes(count).astype(np.int32)), pa.array(np.fromiter(count.values(), np.int64, len(count)))],
-            ["h", "class", "n"],
-        )
+    codes: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+    endings: np.ndarray
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not held_out(i):
-                    count.update(common.words_of(text, lower=True))
-                    count[END] += 1
-                    if len(count) > HOLD:
-                        yield rows(count)
-                        count.clear()
-        if count:
-            yield rows(count)
 
-    return documents.mapInArrow(run, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("n"))
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Words and end of each text, by Arrow's splitting and dictionary encoding; a null text is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, offsets = lists.values, lists.offsets.to_numpy()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(real)])
+    sizes = before[offsets[1:]] - before[offsets[:-1]] + 1
+    encoded = flat.filter(pa.array(real)).dictionary_encode()
+    words = encoded.dictionary.cast(pa.binary()).to_pylist()
+    codes = np.full(int(sizes.sum()), len(words), np.int64)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    codes[inside] = encoded.indices.to_numpy()
+    words.append(END)
+    return Tokens(codes, sizes, signed_hashes(words), ending_classes(words))
 
 
-class Words(dict):
-    """Numbers the words that a task meets; ``hashes``, ``items`` and ``logs`` are by number. A log of nan: not among the frequent words."""
+def count_words(documents: DataFrame) -> DataFrame:
+    """(h, class, n) of the words of training documents, the end of a text (class 0) included; class: by ending."""
 
-    def __init__(self, numbering: Numbering, known: np.ndarray, logs: np.ndarray):
-        """known: sorted hashes of the frequent words, with their logs."""
-        self.numbering, self.known, self.known_logs = numbering, known, logs
-        self.reset()
+    def merged(parts: list[tuple]) -> tuple:
+        hashes, endings, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashes, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        return hashes, endings[at], np.bincount(back, n, len(hashes)).astype(np.int64)
 
-    def reset(self) -> None:
-        self.clear()
-        self.hashes, self.items, self.logs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    def rows(part: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1].astype(np.int32)), pa.array(part[2])], ["h", "class", "n"])
 
-    def number(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self) > HOLD:
-            self.reset()
-        new = set().union(*texts).difference(self)
-        if new:
-            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
-            hashes = signed_hashes(new)
-            self.hashes = np.concatenate([self.hashes, hashes])
-            self.items = np.concatenate([self.items, self.numbering.items(hashes, ending_classes(new))])
-            self.logs = np.concatenate([self.logs, look_up(hashes, self.known, self.known_logs, math.nan)])
-        return [np.fromiter(map(self.__getitem__, t), np.int64, len(t)) for t in texts]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for batch in batches:
+            t = tokens_of(batch.column("text").filter(pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())))
+            n = np.bincount(t.codes, minlength=len(t.hashes))
+            parts.append((t.hashes[n > 0], t.endings[n > 0], n[n > 0]))
+            if sum(len(p[0]) for p in parts) > HOLD:
+                parts = [merged(parts)]
+                if len(parts[0][0]) > HOLD // 2:
+                    yield rows(parts.pop())
+        if parts:
+            yield rows(merged(parts))
+
+    return documents.mapInArrow(run, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("n"))
 
 
 def look_up(x: np.ndarray, keys: np.ndarray, values: np.ndarray, other) -> np.ndarray:
@@ -167,11 +171,15 @@ class Numbering:
         return np.where((own < 0) | (endings == 0), self.by_ending[endings], own)
 
 
-def contexts(items: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's item with those of the two before it, (two before, one before, token); before a text stand two ends."""
-    texts = [np.concatenate([[end, end], x]) for x in items]
-    parts = [np.concatenate([t[k : len(t) - 2 + k] for t in texts] or [np.zeros(0, np.int64)]) for k in range(3)]
-    return parts[0], parts[1], parts[2]
+def contexts(items: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's item with those of the two before it, (two before, one before, token); before a text stand two ends.
+
+    Texts follow each other and close with an end, so only the first token of a text has a stranger two before it.
+    """
+    padded = np.concatenate([[end, end], items])
+    x = padded[: len(items)].copy()
+    x[np.cumsum(sizes) - sizes] = end
+    return x, padded[1 : len(items) + 1], items
 
 
 class LogBilinear:
@@ -292,16 +300,6 @@ def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(np.exp(scores, out=scores).sum(1)).astype(np.float64)
 
 
-def _number(words: Words, batch: pa.RecordBatch, training: int | None = None) -> list[np.ndarray]:
-    """The words of the batch's texts by number, ends included; with ``training``, of the training documents in these eighths (a bit map)."""
-    texts = []
-    for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        if training is None or not held_out(i) and training >> eighth(i) & 1:
-            texts.append(common.words_of(text, lower=True))
-            texts[-1].append(END)
-    return words.number(texts)
-
-
 def eighth(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // FOLDS % sum(ROUNDS)
 
@@ -342,11 +340,12 @@ def train(docs: DataFrame, numbering: Numbering, tokens: int) -> LogBilinear:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, bits=bits, number=number) -> Iterator[pa.RecordBatch]:
             start, numbered = sent.value
-            replica, words = copy.deepcopy(start), Words(numbered, np.zeros(0, np.int64), np.zeros(0))
+            replica = copy.deepcopy(start)
             rng = np.random.default_rng((SEED, number, TaskContext.get().partitionId()))
             for batch in batches:
-                texts = _number(words, batch, bits)
-                replica.fit(*contexts([words.items[x] for x in texts], numbered.end), rng, passes)
+                mine = pa.array([not held_out(i) and bits >> eighth(i) & 1 == 1 for i in batch.column("doc_id").to_pylist()], pa.bool_())
+                t = tokens_of(batch.column("text").filter(mine))
+                replica.fit(*contexts(numbered.items(t.hashes, t.endings)[t.codes], t.sizes, numbered.end), rng, passes)
             if (replica.used != start.used).any():
                 for block, width, rows, weights, change in replica.changes(start):
                     half = change.clip(-6e4, 6e4).astype(np.float16)
@@ -395,16 +394,14 @@ def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, numbered, hashes, logs, log_weight = sent.value
-        words = Words(numbered, hashes, logs)
         for batch in batches:
-            numbers = _number(words, batch)
-            items, hashed = words.items, words.hashes
-            rare, in_shared = np.isnan(words.logs), numbered.ending[items] > 0
-            log = np.where(rare, 0.0, words.logs)
-            size = np.array([len(x) for x in numbers])
+            t = tokens_of(batch.column("text"))
+            found = look_up(t.hashes, hashes, logs, math.nan)  # nan: not among the frequent words
+            items, rare = numbered.items(t.hashes, t.endings), np.isnan(found)
+            in_shared, log = numbered.ending[items] > 0, np.where(rare, 0.0, found)
+            every, size = t.codes, t.sizes
             at = np.cumsum(size) - size
-            every = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-            x, y, z = contexts([items[n] for n in numbers], numbered.end)
+            x, y, z = contexts(items[every], size, numbered.end)
             model_log = np.concatenate([lm.log10(x[k : k + SCORE_AT_ONCE], y[k : k + SCORE_AT_ONCE], z[k : k + SCORE_AT_ONCE]) for k in range(0, len(z), SCORE_AT_ONCE)] or [np.zeros(0)]) - log_weight[z]
 
             def summed(values: np.ndarray, at=at) -> np.ndarray:
@@ -415,7 +412,7 @@ def score(documents: DataFrame, scratch: common.Scratch | None = None) -> DataFr
             pairs, times = np.unique(np.repeat(np.arange(len(size)), size)[at_rare] * (len(rare) + 1) + every[at_rare], return_counts=True)
             text, word = pairs // (len(rare) + 1), pairs % (len(rare) + 1)
             cut = np.searchsorted(text, np.arange(len(size) + 1))
-            unknown = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(hashed[word]), pa.array(times.astype(np.int64))], ["h", "n"]))
+            unknown = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(t.hashes[word]), pa.array(times.astype(np.int64))], ["h", "n"]))
             known = summed((~rare[every]).astype(np.int64)) - (1 - end_known)
             columns = [pa.array(size, pa.int64()), pa.array(known, pa.int64()), *(pa.array(summed(v), pa.float64()) for v in (log[every], np.where(in_shared[every], log[every], 0.0), model_log))]
             columns.append(unknown)
