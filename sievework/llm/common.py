@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -33,18 +34,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster. Unset, a temporary one in local mode, where all share the machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables that are still there, with their sessions: results read some of them until the driver ends.
+_left: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _left.pop(path, None)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path, spark in list(_left.items()):
+        if spark.sparkContext._jsc is not None:  # nothing can be reached from a stopped session
+            _delete(spark, path)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage and to survive lost executors.
 
-    ``drop`` removes tables that nothing reads any more; ``close`` removes all.
+    ``drop`` removes tables that nothing reads any more; ``close`` removes all. What
+    a lazy result still reads stays until the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -56,6 +77,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
+        _left[path] = self.spark
         for x in drop:
             self.drop(x)
         if free:
@@ -67,8 +89,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path, _ = self.paths.pop(id(df), (None, None))
         if path:
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, path)
 
     def close(self) -> None:
         for _, df in list(self.paths.values()):

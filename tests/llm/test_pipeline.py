@@ -10,7 +10,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from sievework.llm import mixing
+from sievework.llm import mixing, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,7 +65,7 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got[1]) == [r[0] for r in left] and {60, 61}.isdisjoint(r[0] for r in left)
 
     seen, cut = set(), {}
-    size = corpus_pipeline.PASSAGE
+    size = suffix_dedup.PASSAGE
     for r in left:
         raw = r[1].encode()
         gone = np.zeros(len(raw), bool)
@@ -103,3 +103,17 @@ def test_run_agrees_with_the_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(len(r["ids"]) == r["n_tokens"] for r in out)
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    """Each stage takes no rows, and columns with names that operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, tid long, rep long, rate double, class long, bucket string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = "Every word of this short text is there once and none is there again."
+    for name, rows in (("none", []), ("one", [(1, clean, "en", "s", len(clean), 1, "k", 2, 3, 0.5, 4, "b")])):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == 4 or docs.columns == [c.split()[0] for c in schema.split(", ")]
+            assert k == 3 or docs.count() == len(rows) or k == 4
