@@ -7,6 +7,8 @@ are cut, and the mix repeats or leaves out documents.
 
 from __future__ import annotations
 
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,34 +16,39 @@ from sievework.llm import bpe, common, mixing, ngram_join, quality_rules, suffix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
-_last: list[common.Scratch] = []
+_thread = threading.local()
 
 
 def _scratch(spark: SparkSession) -> common.Scratch:
-    """A stage's scratch tables. Those of the stage before are no longer read: its result has been written."""
-    while _last:
-        _last.pop().close()
-    _last.append(common.Scratch(spark))
-    return _last[-1]
+    """A stage's scratch tables. Those of the stage before it in this thread are no longer read: its result has been written."""
+    if last := getattr(_thread, "last", None):
+        last.close()
+    _thread.last = common.Scratch(spark)
+    return _thread.last
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. Null and empty texts go; repeated rows are judged alike; no labels, only the base rule."""
     return quality_rules.keep_documents(docs, common.table(spark, sf_dir, "labels"), _scratch(spark))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the smallest doc_id. Rows without words or doc_id stay, repeated rows once."""
     return ngram_join.keep_one(docs, _scratch(spark))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of passages; documents of which no word is left go. Null and short texts stay as they are."""
     return suffix_dedup.remove_later_copies(docs, _scratch(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them. Those without words are never taken; a null source is one of its own."""
     return mixing.mix_documents(docs, _scratch(spark))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row. Null texts are empty and have no ids."""
     _scratch(spark)
     return bpe.round_trip(docs, bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, with_ids=True)
 
@@ -59,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read by the next."""
+    """The stages over ``documents``, each written as Parquet and read by the next.
+
+    Every stage takes an empty table, and columns of any name beside those of
+    documents, which all but the last hand on.
+    """
     docs = common.table(spark, sf_dir, "documents")
     written = common.Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
