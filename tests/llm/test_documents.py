@@ -417,6 +417,15 @@ def test_weak_labels(spark):
     assert sum(r["kept"] for r in got) == 300
 
 
+def test_weak_labels_against_labels(spark):
+    """Of documents labelled bad most go, of those labelled good hardly any; the operator never sees the labels."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r["kept"] for r in weak_label.classify(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    bad, good = ([got[r["doc_id"]] for r in labels if r["quality"] == q] for q in (0, 1))
+    assert bad.count(False) >= 0.8 * len(bad) and good.count(True) >= 0.98 * len(good)
+
+
 @pytest.mark.parametrize(
     "run",
     [
