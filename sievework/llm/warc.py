@@ -9,7 +9,6 @@ follow from the response's id, so that reruns agree.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -61,7 +60,7 @@ def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if end < 0:
             return
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[start:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(fields.get("content-length") or 0)
+        size = int(length) if (length := fields.get("content-length", "")).isdecimal() else 0
         yield fields, raw[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -77,14 +76,25 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
+def inflated(payload: bytes) -> bytes:
+    """gzip, zlib or raw deflate undone, as far as it is whole; the payload itself where it is none of them."""
+    for bits in (47, -15):
+        whole, out = zlib.decompressobj(bits), []
+        try:
+            for at in range(0, len(payload), 1024):
+                out.append(whole.decompress(payload[at : at + 1024]))
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return payload
+
+
 def decoded(headers: list[tuple[str, str]], payload: bytes) -> str:
     """The payload as text: content encoding undone, in the charset of the headers or UTF-8."""
     names = {k.lower(): v for k, v in headers}
-    if "gzip" in names.get("content-encoding", ""):
-        try:
-            payload = gzip.decompress(payload)
-        except (OSError, EOFError, zlib.error):
-            return ""
+    if re.search("gzip|deflate", names.get("content-encoding", "")):
+        payload = inflated(payload)
     charset = re.search(r"charset=[\"']?([\w-]+)", names.get("content-type", ""))
     try:
         return payload.decode(charset[1] if charset else "utf-8", "replace")
@@ -135,7 +145,8 @@ def derive_one(record_id: str, uri: str, date: str, source_digest: str, block: b
     out = []
     for kind, content, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
         own = digest(body)
-        new = urn(f"{kind}:{record_id}")
+        # Responses without an id still give records of their own.
+        new = urn(f"{kind}:{record_id or f'{uri} {digest(block)}'}")
         head = record_bytes([("WARC-Type", kind), ("WARC-Record-ID", new), *link, ("Content-Type", content), ("WARC-Block-Digest", own)], body)[: -len(body) - 8 or None]
         out.append((new, kind, record_id, uri, date, date, content, source_digest, own, own, head.decode("utf-8", "surrogatepass"), body))
     return out

@@ -225,9 +225,10 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
     model = LabelModel().fit(pattern_votes(patterns), n) if len(patterns) else None
     posterior = dict(zip(patterns.tolist(), model.posterior(pattern_votes(patterns)).tolist(), strict=True)) if model else {}
 
-    order = F.xxhash64("doc_id", F.lit(3))
-    chosen = docs.select("doc_id").orderBy(order, "doc_id").limit(TRAIN_ROWS)
-    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # at most TRAIN_ROWS ids
+    # The sample counts texts, not rows: one of a million equal rows is one.
+    keyed = docs.withColumn("tid", F.xxhash64("text"))
+    chosen = keyed.select("doc_id", "tid").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "tid").limit(TRAIN_ROWS)
+    texts = keyed.join(F.broadcast(chosen), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])  # at most TRAIN_ROWS
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -235,11 +236,10 @@ def classify(documents: DataFrame, scratch: common.Scratch | None = None) -> Dat
             shapes.trim()
             got = [measure(t, shapes) for t in batch.column("text").to_pylist()]
             p = [posterior.get(pattern_of(v), 0.5) for v, _, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([a for _, a, _ in got], pa.list_(pa.int64())), pa.array([x for _, _, x in got], pa.list_(pa.float64()))], ["doc_id", "p", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(p, pa.float64()), pa.array([a for _, a, _ in got], pa.list_(pa.int64())), pa.array([x for _, _, x in got], pa.list_(pa.float64()))], ["doc_id", "tid", "p", "at", "value"])
 
-    sample = texts.mapInArrow(featured, "doc_id long, p double, at array<long>, value array<double>").toArrow()
-    # A table in order of the ids, so that reruns agree; repeated rows may make it somewhat longer.
-    sample = sample.sort_by("doc_id").slice(0, TRAIN_ROWS)
+    sample = texts.mapInArrow(featured, "doc_id long, tid long, p double, at array<long>, value array<double>").toArrow()
+    sample = sample.sort_by([("doc_id", "ascending"), ("tid", "ascending")])  # reruns agree
     sample = {c: [np.asarray(x) for x in sample.column(c).to_pylist()] if c in ("at", "value") else sample.column(c).to_numpy() for c in ("p", "at", "value")}
     weights, bias = train([(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(sample["at"], sample["value"], strict=True)], sample["p"])
 

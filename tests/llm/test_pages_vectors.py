@@ -3,6 +3,7 @@
 import gzip
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,17 @@ def test_warc_records(spark, tmp_path):
     assert warc.derive(sources.limit(0)).count() == 0
 
 
+def test_broken_payloads_and_missing_ids():
+    text = ("words of a page. " * 500).encode()
+    packed = gzip.compress(text)
+    assert warc.inflated(packed) == text == warc.inflated(zlib.compress(text)) == warc.inflated(zlib.compress(text)[2:-4])
+    assert text.startswith(warc.inflated(packed[: len(packed) // 2])) and warc.inflated(packed[: len(packed) // 2]) and warc.inflated(text) == text
+    heads = [b"HTTP/1.1 200 OK\r\n\r\n" + x for x in (b"a", b"b")]
+    assert len({r[0] for b in heads for r in warc.derive_one("", "", "", "", b)}) == 4
+    broken = b"junk" + warc.record_bytes([("WARC-Type", "response")], b"x") + b"WARC/1.0\r\nContent-Length: many\r\n\r\n" + warc.record_bytes([("WARC-Type", "response")], b"y") + b"WARC/1.0\r\nno end"
+    assert [b for f, b in warc.parse_records(broken) if f.get("warc-type")] == [b"x", b"y"]
+
+
 def bare(page):
     """The page without any element or attribute that tells what it is for."""
     page = re.sub(r"<(/?)(article|main|nav|footer|header|aside|section)\b", r"<\1div", page)
