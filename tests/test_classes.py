@@ -20,7 +20,7 @@ def repeated(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["q_msm_edges", "q_msm_edges_truncated", "q_value_sim", "q_components", "q_avg_levenshtein", "q_title_sim"])
+@pytest.mark.parametrize("name", ["q_msm_edges", "q_msm_edges_truncated", "q_value_sim", "q_components", "q_avg_levenshtein", "q_title_sim", "q_block_pairs"])
 def test_repeated_offers_agree_with_sql(spark, repeated, monkeypatch, name):
     folder, con = repeated
     seen = {}
