@@ -95,6 +95,16 @@ class Tokens(NamedTuple):
     endings: np.ndarray
 
 
+def _elements(column: pa.Array) -> list[bytes]:
+    """The elements of a binary column without nulls, cut from its buffer at once."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = data.to_pybytes() if data else b""
+    return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def tokens_of(texts: pa.Array) -> Tokens:
     """Words and end of each text, by Arrow's splitting and dictionary encoding; a null text is empty."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -103,7 +113,7 @@ def tokens_of(texts: pa.Array) -> Tokens:
     before = np.concatenate([[0], np.cumsum(real)])
     sizes = before[offsets[1:]] - before[offsets[:-1]] + 1
     encoded = flat.filter(pa.array(real)).dictionary_encode()
-    words = encoded.dictionary.cast(pa.binary()).to_pylist()
+    words = _elements(encoded.dictionary.cast(pa.binary()))
     codes = np.full(int(sizes.sum()), len(words), np.int64)
     inside = np.ones(len(codes), bool)
     inside[np.cumsum(sizes) - 1] = False
@@ -198,6 +208,8 @@ class LogBilinear:
         self.cumulative = np.concatenate([[0.0], np.cumsum(p)])
         self.class_share = np.add.reduceat(p, self.edge[:-1])
         self.class_share /= self.class_share.sum()
+        self.class_cumulative = self.class_share.cumsum()
+        self.class_cumulative /= self.class_cumulative[-1]
         self.log_class = np.log(NOISE * self.class_share).astype(np.float32)
         self.log_within = np.log(NOISE_WITHIN * p / self.class_share[self.class_of]).astype(np.float32)
         self.first, self.second, self.out, self.top = (rng.normal(0, 0.1, (n, DIMS)).astype(np.float32) for n in (v, v, v, classes))
@@ -208,24 +220,35 @@ class LogBilinear:
     def context(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return self.first[x] + self.second[y]
 
-    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray, bias: np.ndarray | None = None) -> None:
-        """Adagrad by row: the gradients of equal rows are summed."""
-        order = np.argsort(rows, kind="stable")
-        start = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        g, row, seen = np.add.reduceat(gradient[order], start, axis=0), rows[order[start]], self.seen[name]
-        seen[row] += (g * g).mean(1)
-        rate = np.float32(RATE) / np.sqrt(seen[row])
-        getattr(self, name)[row] -= g * rate[:, None]
+    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray, bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Adagrad by row: the gradients of equal rows are summed. The different rows and how often each occurs."""
+        order = np.argsort(rows)
+        ordered = rows[order]
+        start = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+        g, row = np.add.reduceat(gradient[order], start, axis=0), ordered[start]
+        seen = self.seen[name][row] + np.einsum("rd,rd->r", g, g) / np.float32(DIMS)
+        self.seen[name][row] = seen
+        rate = np.float32(RATE) / np.sqrt(seen)
         if bias is not None:
             getattr(self, name + "_bias")[row] -= np.add.reduceat(bias[order], start) * rate
+        g *= rate[:, None]
+        getattr(self, name)[row] -= g
+        return row, np.diff(start, append=len(rows))
 
     def learn(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation: classes against NOISE classes for all tokens, words against NOISE_WITHIN words of their class each."""
         ctx, c = self.context(x, y), self.class_of[z]
-        w = rng.choice(len(self.top), NOISE, p=self.class_share)
-        d_true = 1 / (1 + np.exp(-(ctx * self.top[c]).sum(1) - self.top_bias[c] + self.log_class[c])) - 1
-        d_false = 1 / (1 + np.exp(-ctx @ self.top[w].T - self.top_bias[w] + self.log_class[w]))
-        d_ctx = d_true[:, None] * self.top[c] + d_false @ self.top[w]
+        w = self.class_cumulative.searchsorted(rng.random(NOISE), side="right")
+        top, noise_top = self.top[c], self.top[w]
+        d_true = 1 / (1 + np.exp((self.log_class - self.top_bias)[c] - np.einsum("bd,bd->b", ctx, top))) - 1
+        d_false = ctx @ -noise_top.T
+        d_false += self.log_class[w] - self.top_bias[w]
+        np.exp(d_false, out=d_false)
+        d_false += 1
+        np.reciprocal(d_false, out=d_false)
+        top *= d_true[:, None]
+        d_ctx = d_false @ noise_top
+        d_ctx += top
         low, high = self.edge[c], self.edge[c + 1]
         drawn = self.cumulative[low, None] + rng.random((len(z), NOISE_WITHIN)) * (self.cumulative[high] - self.cumulative[low])[:, None]
         noise = (np.searchsorted(self.cumulative, drawn, side="right") - 1).clip(low[:, None], high[:, None] - 1)
@@ -234,11 +257,11 @@ class LogBilinear:
         d = 1 / (1 + np.exp(-np.einsum("bd,bkd->bk", ctx, out) - self.out_bias[rows] + self.log_within[rows]))
         d[:, 0] -= 1
         d_ctx += np.einsum("bk,bkd->bd", d, out)
-        self._step("out", rows.ravel(), (d[:, :, None] * ctx[:, None, :]).reshape(-1, DIMS), d.ravel())
+        row, times = self._step("out", rows.ravel(), (d[:, :, None] * ctx[:, None, :]).reshape(-1, DIMS), d.ravel())
+        self.used[row] += times
         self._step("top", np.concatenate([c, w]), np.concatenate([d_true[:, None] * ctx, d_false.T @ ctx]), np.concatenate([d_true, d_false.sum(0)]))
         self._step("first", x, d_ctx)
         self._step("second", y, d_ctx)
-        self.used += np.bincount(rows.ravel(), minlength=len(self.used))
 
     def fit(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, rng: np.random.Generator, passes: int = 1) -> LogBilinear:
         """Passes over the tokens, each in a random order."""
@@ -252,13 +275,19 @@ class LogBilinear:
     def log10(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         """log10 p(z | x, y) of each token: one matrix product with all classes, and one with the words of each class that occurs."""
         ctx, c = self.context(x, y), self.class_of[z]
-        out = np.concatenate([_log_softmax(ctx[k : k + PRODUCT] @ self.top.T + self.top_bias, c[k : k + PRODUCT]) for k in range(0, len(c), PRODUCT)] or [np.zeros(0)])
+        # A one beside each context takes the biases into the products.
+        ctx = np.concatenate([ctx, np.ones((len(ctx), 1), np.float32)], axis=1)
+        top, words = (np.concatenate([v, b[:, None]], axis=1) for v, b in ((self.top, self.top_bias), (self.out, self.out_bias)))
+        longest = _longest(ctx)
+        safe = longest * _longest(top) < 80
+        out = np.concatenate([_log_softmax(ctx[k : k + PRODUCT] @ top.T, c[k : k + PRODUCT], safe) for k in range(0, len(c), PRODUCT)] or [np.zeros(0)])
+        safe = longest * _longest(words) < 80
         order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(len(self.top) + 1))
         for k in np.flatnonzero(np.diff(cut)):
             own = slice(self.edge[k], self.edge[k + 1])
             for at in np.array_split(order[cut[k] : cut[k + 1]], -(-(cut[k + 1] - cut[k]) // PRODUCT)):
-                out[at] += _log_softmax(ctx[at] @ self.out[own].T + self.out_bias[own], z[at] - self.edge[k])
+                out[at] += _log_softmax(ctx[at] @ words[own].T, z[at] - self.edge[k], safe)
         return out / math.log(10)
 
     def _columns(self) -> np.ndarray:
@@ -292,9 +321,13 @@ class LogBilinear:
         self.out_bias[at] += by[:, 3 * DIMS]
 
 
-def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row at its element ``at``; overwrites the scores."""
-    if scores.max() > 80 or scores.min() < -80:  # only then could a sum of exponentials overflow, or vanish
+def _longest(rows: np.ndarray) -> float:
+    return math.sqrt(np.einsum("rd,rd->r", rows, rows).max(initial=0.0))
+
+
+def _log_softmax(scores: np.ndarray, at: np.ndarray, safe: bool = False) -> np.ndarray:
+    """The log of the softmax of each row at its element ``at``; overwrites the scores. ``safe``: none is beyond 80, up or down."""
+    if not safe and (scores.max() > 80 or scores.min() < -80):  # only then could a sum of exponentials overflow, or vanish
         scores -= scores.max(1)[:, None]
     own = scores[np.arange(len(at)), at]
     return own - np.log(np.exp(scores, out=scores).sum(1)).astype(np.float64)
