@@ -1,6 +1,7 @@
 """Evaluation of blocking by counts, against all pairs of the samples."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -49,3 +50,19 @@ def test_counts_are_those_of_all_pairs(spark, products, monkeypatch, hot):
 def test_no_products(spark):
     none = spark.createDataFrame([], "pid long, model_id string, words array<string>")
     assert evaluate.evaluate_lsh(none, lambda p: sampling.bootstrap(p, 0.9, 2), GRID).count() == 0
+
+
+def test_minima_of_many_words_take_little_memory():
+    rng = np.random.default_rng(5)
+    at = np.cumsum([0, 0, 3, 9_000, 1, 0, 200, 12_000, 70_000, 0])
+    every = rng.integers(0, 1 << 28, at[-1])
+    a, c = (np.array(x, np.int64)[:, None] for x in zip(*lsh.coefficients(600), strict=True))
+    every[0], every[1] = 0, (1 << 28) - 1
+    tracemalloc.start()
+    got = lsh.minima(at, every, a, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for h in range(0, 600, 37):
+        values = [(int(a[h, 0]) * x + int(c[h, 0])) % lsh.PRIME for x in every.tolist()]
+        assert got[:, h].tolist() == [min(values[i:j], default=0) for i, j in zip(at, at[1:])]
+    assert peak < 8 << 20  # 91,204 words by 600 functions at once would take 438 MB
