@@ -79,3 +79,10 @@ def test_series_of_baseline_and_clustering_are_their_own(spark, monkeypatch):
             shares.append(sum(any(x[k : k + 2] == y[k : k + 2] for k in range(0, 60, 2)) for k0, x in enumerate(signs) for y in signs[:k0]) / (n * (n - 1) / 2))
         assert max(x for x, _ in got[series, "pq"]) == pytest.approx(sum(shares) / 2, abs=1e-6)
     assert got["improved", "f1_star"] != got["baseline", "f1_star"] and got["improved", "f1"] != got["improved", "f1_star"]
+
+
+def test_series_of_blocking_spread_the_offers(spark, monkeypatch):
+    offers, seen = catalogue.products.offers, []
+    monkeypatch.setattr(catalogue.products, "offers", lambda spark, sf_dir, spread=False: seen.append(spread) or offers(spark, sf_dir, spread))
+    catalogue.q_plot_series(spark, SF)
+    assert seen == [True, True]
