@@ -12,7 +12,7 @@ from .test_class_clusters import repeated  # noqa: F401
 from .test_entry import rows
 
 
-@pytest.mark.parametrize("name", ["q_lsh_msm_edges", "q_lsh_msm_edges_truncated", "q_lsh_title_sim", "q_lsh_components", "q_lsh_block_pairs"])
+@pytest.mark.parametrize("name", ["q_lsh_msm_edges", "q_lsh_msm_edges_truncated", "q_lsh_title_sim", "q_lsh_components", "q_lsh_block_pairs", "q_lsh_value_sim"])
 def test_repeated_offers_agree_with_sql(spark, repeated, monkeypatch, name):  # noqa: F811
     folder, con = repeated
     # Small blocks, members of a class in several, and neither rows of candidate pairs nor of pairs of words.
